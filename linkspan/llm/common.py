@@ -73,8 +73,21 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def rows_that_stay(docs: DataFrame, stays: DataFrame, id_col: str, key) -> DataFrame:
+    """The rows of docs that `stays` (stay_id, stay_key, ties: a written table with
+    one row for each row to keep) names by identifier and key of the text. Where
+    ties says that several rows look alike, one of them is returned."""
+    mark = stays.select("stay_id", "stay_key", "ties").withColumnsRenamed({"stay_id": "_stay_id", "stay_key": "_stay_key", "ties": "_stay_ties"})
+    joined = docs.join(mark, F.col(id_col).cast("bigint").eqNullSafe(F.col("_stay_id")) & (key == F.col("_stay_key")))
+    if stays.where("ties > 1").isEmpty():
+        return joined.select(docs.columns)
+    alone = joined.where("_stay_ties = 1").select(docs.columns)
+    repeated = joined.where("_stay_ties > 1").dropDuplicates(["_stay_id", "_stay_key"]).select(docs.columns)
+    return alone.unionByName(repeated)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-__all__ = ["BLANKS", "WORD", "dropped", "shared_folder", "ship", "table", "text_or_empty", "written"]
+__all__ = ["BLANKS", "WORD", "dropped", "rows_that_stay", "shared_folder", "ship", "table", "text_or_empty", "written"]

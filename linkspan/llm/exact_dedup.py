@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import rows_that_stay, table, text_or_empty, written
 
 #: Entries a range holds on average at the root of its tree.
 RANGE_ENTRIES = 32768
@@ -55,6 +55,7 @@ def _packed(range_ids, node, parts):
     """One run row for each range present in the sorted parts."""
     starts = np.flatnonzero(np.r_[True, range_ids[1:] != range_ids[:-1]]) if len(range_ids) else []
     ends = np.r_[starts[1:], len(range_ids)] if len(range_ids) else []
+    parts = (parts[0].astype(">u8"), *parts[1:])  # numpy concatenates in native byte order
     return [
         {"range": int(range_ids[a]), "node": node} | {n: np.ascontiguousarray(p[a:b]).tobytes() for n, p in zip(_PARTS, parts)}
         for a, b in zip(starts, ends)
@@ -180,14 +181,8 @@ def decisions(prints: DataFrame, **how) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """docs without copies, columns unchanged; of equal texts one row stays."""
     stays = written(decisions(fingerprints(docs, id_col, text_col), keep=keep).where("kept"), "stays")
-    mark = stays.select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"), F.col("ties").alias("_stay_ties"))
-    sha = F.sha2(text_or_empty(text_col), 256)
-    joined = docs.join(mark, F.col(id_col).cast("bigint").eqNullSafe(F.col("_stay_id")) & (sha == F.col("_stay_sha")))
-    if stays.where("ties > 1").isEmpty():
-        return joined.select(docs.columns)
-    alone = joined.where("_stay_ties = 1").select(docs.columns)
-    repeated = joined.where("_stay_ties > 1").dropDuplicates(["_stay_id", "_stay_sha"]).select(docs.columns)
-    return alone.unionByName(repeated)
+    stays = stays.select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_key"), "ties")
+    return rows_that_stay(docs, stays, id_col, F.sha2(text_or_empty(text_col), 256))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,12 +65,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the table that `written` returned, once nothing reads it any more."""
-    spark = df.sparkSession
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 def rows_that_stay(docs: DataFrame, stays: DataFrame, id_col: str, key) -> DataFrame:
@@ -90,4 +93,4 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-__all__ = ["BLANKS", "WORD", "dropped", "rows_that_stay", "shared_folder", "ship", "table", "text_or_empty", "written"]
+__all__ = ["BLANKS", "WORD", "delete", "dropped", "rows_that_stay", "shared_folder", "ship", "table", "text_or_empty", "written"]

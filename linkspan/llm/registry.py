@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash_dedup
+from . import exact_dedup, packing, simhash_dedup, token_store
 
-MODULES = (exact_dedup, simhash_dedup)
+MODULES = (exact_dedup, token_store, simhash_dedup, packing)
 
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -240,7 +240,8 @@ def decisions(prints: DataFrame, radius: int = 4, bucket_rows: int = 8192) -> Da
     linked = written(components(links(nodes.select("fp"), radius, bucket_rows)), "components")
     best = nodes.join(linked, nodes.fp == linked.node).groupBy("root").agg(F.min("first").alias("best"))
     of = linked.join(best, "root").select(F.col("node").alias("fp"), "best")
-    whole = nodes.join(of, "fp", "left").select("fp", F.coalesce("best", "first").alias("first"))
+    # written, so that the last join has two plain exchanges and Spark may split a hot fingerprint
+    whole = written(nodes.join(of, "fp", "left").select("fp", F.coalesce("best", "first").alias("first")), "whole")
     return prints.join(whole, "fp").select("doc_id", "tie", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.tie").alias("component_tie"))
 
 

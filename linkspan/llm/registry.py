@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, simhash_dedup, token_store
+from . import exact_dedup, mixing, packing, quality_rules, simhash_dedup, token_store
 
-MODULES = (exact_dedup, token_store, simhash_dedup, packing, quality_rules)
+MODULES = (exact_dedup, token_store, simhash_dedup, packing, quality_rules, mixing)
 
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -64,8 +64,8 @@ def targets(units: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEI
     whole = Window.partitionBy()
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     left = share * F.sum("source_size").over(whole) - F.coalesce(F.sum("bound").over(before), F.lit(0.0))
-    levels = weighed.withColumn("water", left / F.sum("weight").over(after))
-    final = F.min(F.when(F.col("water") <= F.col("level"), F.struct("level", "water"))).over(whole)
+    levels = weighed.withColumn("water", left / F.sum("weight").over(after)).withColumn("rank", F.row_number().over(order))
+    final = F.min(F.when(F.col("water") <= F.col("level"), F.struct("rank", "water"))).over(whole)
     target = F.least(F.col("bound"), F.col("weight") * F.coalesce(final["water"], F.lit(float("inf"))))
     return written(levels.select("source", "source_size", target.alias("target"), "n_docs"), "targets")
 

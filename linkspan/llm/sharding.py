@@ -51,7 +51,7 @@ def directory(rows: DataFrame, byte_limit: int = BYTE_LIMIT, spare_bits: int = S
     found, depth, rest = [], 0, rows
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     while True:
-        to = min(BITS, depth + (total // byte_limit).bit_length() + spare_bits)
+        to = min(BITS, depth + max(1, (total // byte_limit).bit_length() + spare_bits))
         cells = written(rest.groupBy(_prefix(F.col("hash"), BITS, F.lit(to)).alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs")), "cells")
         first = 0 if not found else depth + 1
         paths = cells.select("cell", "bytes", "docs", F.explode(F.sequence(F.lit(first), F.lit(to))).alias("depth"))

@@ -61,7 +61,7 @@ def list_findings(rows: DataFrame, required: DataFrame, targets: DataFrame | Non
     found = [
         ("V06", duplicate_rows(good)), ("V07", repeated_in_list(good)),
         ("V08", ids.where("class = 'self'").select("id")), ("V09", ids.where("class = 'wrong'").select("id")),
-        ("V11", not_in(required.select(F.col(required.columns[0]).alias("s1_id")), good, "s1_id")),
+        ("V11", not_in(required.select(F.col(required.columns[0]).alias("s1_id")), good.select("s1_id"), "s1_id")),
         ("V12", not_in(good.select("s1_id"), required, "s1_id")),
     ]
     if targets is not None:

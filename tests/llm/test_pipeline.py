@@ -21,7 +21,7 @@ def test_stages_chain(spark, tricky, tmp_path):
             assert counts[-1] == before.select("text").distinct().count()
         if name == "simhash_dedup":
             found = simhash_dedup.decisions(simhash_dedup.fingerprints(before))
-            assert counts[-1] == found.select("component_id").distinct().count()
+            assert counts[-1] == found.select("component_id", "component_tie").distinct().count()
     assert counts[0] >= 200 and counts[1] < counts[0] and counts[2] <= counts[1] and counts[3] > counts[2]
     assert sorted(r.name for r in docs.select("doc_id", "sequence_id").schema) == ["doc_id", "sequence_id"]
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None

@@ -1,10 +1,18 @@
 """Candidate generation: top-k TF-IDF cosine within a country.
 
-An inverted index in long form, (entity, block, term, weight), is joined with
-itself on (block, term). The vocabulary is at most `max_terms` rows, a fixed
-bound, so it may be broadcast; the pair aggregation combines map-side; and the
-top-k is a row_number filter, for which Spark prunes groups before the shuffle.
-A block is never gathered: rows are dealt by (block, term).
+`pair_scores` is the whole similarity join: an inverted index in long form,
+(entity, block, term, weight), joined with itself on (block, term) and added up.
+The top-k doesn't need the pairs: one term that a third of a block shares (its
+country's name, say) pairs nearly everything, and nearly none of those pairs win.
+`best_pairs` deals both sides into parts of bounded size, and a task takes one
+part of each: it adds the right part's postings up in one array for each left
+row, and hands on that row's k best. So no pair is shuffled but k for each row
+and part, a block is never gathered, and the result is exact. Built-in operators
+can't keep such an array, hence Arrow and numpy.
+
+The vocabulary is at most `max_terms` rows, a fixed bound, so it may be broadcast.
+An identifier is unique in its source; one that is in two blocks counts as two
+entities.
 """
 
 from __future__ import annotations
@@ -13,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspan.functions import text as T
+from linkspan.sources.shared import written
 
 CONTENT = ("business_name", "business_address", "country")
 
@@ -28,8 +37,8 @@ def processed(source: DataFrame, id_col: str | None = None) -> DataFrame:
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """id, block, term, tf."""
-    words = rows.select("id", "block", T.tokens(F.col("text")).alias("words"))
+    """id, block, term, tf. Rows are dealt by id as texts, before they become terms."""
+    words = rows.repartition("id").select("id", "block", T.tokens(F.col("text")).alias("words"))
     return words.select("id", "block", F.explode(T.terms(F.col("words"))).alias("term")).groupBy("id", "block", "term").agg(F.count("*").alias("tf"))
 
 
@@ -49,11 +58,28 @@ def vocabulary(rows: DataFrame, min_df: int = 3, max_df: float = 0.6, max_terms:
     return kept.select("term", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
+def _weighted(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """id, block, w and all columns of words."""
+    raw = term_counts(rows).join(F.broadcast(words), "term").withColumn("raw", (1.0 + F.log("tf")) * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id", "block")))
+    return raw.select("id", "block", *words.columns, (F.col("raw") / length).alias("w"))
+
+
 def weights(rows: DataFrame, words: DataFrame) -> DataFrame:
     """id, block, term, w: sublinear TF times IDF, scaled to length 1 for each id."""
-    raw = term_counts(rows).join(F.broadcast(words), "term").select("id", "block", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
-    return raw.select("id", "block", "term", (F.col("raw") / length).alias("w"))
+    return _weighted(rows, words).select("id", "block", "term", "w")
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """words with a number n (one window over at most max_terms rows)."""
+    return words.withColumn("n", F.row_number().over(Window.orderBy(F.desc("df"), "term")))
+
+
+def vectors(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """id, block, terms (numbers), weights: one row for each entity; words are numbered.
+    The dealing by id that counts the terms serves all of it."""
+    cells = _weighted(rows, words).groupBy("id", "block").agg(F.collect_list(F.struct("n", "w")).alias("cells"))
+    return cells.select("id", "block", F.col("cells.n").alias("terms"), F.col("cells.w").alias("weights"))
 
 
 def pair_scores(left: DataFrame, right: DataFrame, threshold: float = 0.10) -> DataFrame:
@@ -64,6 +90,60 @@ def pair_scores(left: DataFrame, right: DataFrame, threshold: float = 0.10) -> D
     return sums.select("s1_id", "cand_id", F.round("dot", 6).alias("score")).where(F.col("score") >= threshold)
 
 
+def _best_of_parts(k: int, threshold: float):
+    """A function of a part of the left and one of the right vectors of a block: each
+    left row's k best candidates of that part, ties by identifier."""
+
+    def best(left, right):
+        import numpy as np
+        import pandas as pd
+
+        ids, scores, found = [], [], []
+        if len(left) and len(right):
+            names = right["id"].to_numpy()
+            places = np.empty(len(names), dtype=np.int64)
+            places[np.argsort(names, kind="stable")] = np.arange(len(names))
+            terms = np.concatenate(right["terms"].to_numpy())
+            order = np.argsort(terms, kind="stable")
+            terms = terms[order]
+            owners = np.repeat(np.arange(len(names)), right["terms"].map(len))[order]
+            values = np.concatenate(right["weights"].to_numpy())[order]
+            for name, own_terms, own_weights in zip(left["id"], left["terms"], left["weights"]):
+                low, high = np.searchsorted(terms, own_terms), np.searchsorted(terms, own_terms, "right")
+                total = np.zeros(len(names))
+                for a, b, w in zip(low, high, own_weights):
+                    total[owners[a:b]] += w * values[a:b]  # an entity has a term once
+                near = np.flatnonzero(total >= threshold - 1e-6)
+                rounded = np.round(total[near], 6)
+                if len(near) > k:
+                    near = near[rounded >= np.partition(rounded, -k)[-k]]
+                    near = near[np.lexsort((places[near], -np.round(total[near], 6)))[:k]]
+                ids.append(np.full(len(near), name, dtype=object))
+                found.append(names[near])
+                scores.append(total[near])
+        if not ids:
+            return pd.DataFrame({"s1_id": [], "cand_id": [], "score": []}).astype({"s1_id": object, "cand_id": object, "score": float})
+        return pd.DataFrame({"s1_id": np.concatenate(ids), "cand_id": np.concatenate(found), "score": np.concatenate(scores)})
+
+    return best
+
+
+def best_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, k: int = 15, threshold: float = 0.10, left_rows: int = 1 << 12, right_rows: int = 1 << 16) -> DataFrame:
+    """s1_id, cand_id, score, rank: the k best of each s1_id from the threshold on.
+
+    left and right are vectors, of about n_left and n_right entities; left_rows and
+    right_rows are the sizes of the parts and don't change the result."""
+    parts = {"l": max(1, -(-n_left // left_rows)), "r": max(1, -(-n_right // right_rows))}
+
+    def dealt(df, own, other):
+        mine = F.pmod(F.xxhash64("id"), F.lit(parts[own])).alias(own)
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts[other] - 1).cast("bigint"))).alias(other)
+        return df.select("id", "block", "terms", "weights", mine, every).groupBy("block", "l", "r")
+
+    pairs = dealt(left, "l", "r").cogroup(dealt(right, "r", "l")).applyInPandas(_best_of_parts(k, threshold), "s1_id string, cand_id string, score double")
+    return top_k(pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold), k)
+
+
 def top_k(scores: DataFrame, k: int = 15) -> DataFrame:
     """The k best candidates of each s1_id, ties by identifier, with their rank."""
     order = Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id")
@@ -80,9 +160,9 @@ def with_blocks(source1: DataFrame, candidates: DataFrame) -> tuple[DataFrame, D
 def generate_candidates(source1: DataFrame, source2: DataFrame, source3: DataFrame, k: int = 15, threshold: float = 0.10) -> DataFrame:
     """s1_id, cand_id, score, rank."""
     both = processed(source2).unionByName(processed(source3))
-    words = vocabulary(fit_sample(both))
+    words = written(numbered(vocabulary(fit_sample(both))), "vocabulary")
     left, right = with_blocks(processed(source1), both)
-    return top_k(pair_scores(weights(left, words), weights(right, words), threshold), k)
+    return best_pairs(vectors(left, words), vectors(right, words), left.count(), right.count(), k, threshold)
 
 
 def candidate_lists(source1: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -70,6 +70,17 @@ def test_top_k_keeps_the_threshold_and_breaks_ties(spark):
     assert {r.cand_id for r in blocking.pair_scores(left, right).collect()} == {"S2-0", "S2-2", "S2-3"}
 
 
+@pytest.mark.parametrize("left_rows,right_rows", [(1 << 12, 1 << 16), (40, 70)])
+def test_best_pairs_are_the_best_of_all_pairs(er, left_rows, right_rows):
+    left, right = blocking.processed(er["er_source1"]), blocking.processed(er["er_source2"].unionByName(er["er_source3"]))
+    words = blocking.numbered(blocking.vocabulary(right)).cache()
+    want = blocking.top_k(blocking.pair_scores(blocking.weights(left, words.drop("n")), blocking.weights(right, words.drop("n"))), 4)
+    best = blocking.best_pairs(blocking.vectors(left, words), blocking.vectors(right, words), 150, 360, 4, left_rows=left_rows, right_rows=right_rows)
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.collect()))
+    none = blocking.best_pairs(blocking.vectors(left, words), blocking.vectors(right.limit(0), words), 150, 0)
+    assert none.isEmpty()
+
+
 def test_blocks_and_fallbacks(spark):
     none = spark.createDataFrame([("x", None, "")], "entity_id string, business_name string, country string")
     left, right = blocking.with_blocks(blocking.processed(none), blocking.processed(none))

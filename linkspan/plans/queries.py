@@ -75,6 +75,19 @@ def blk_vocab_idf(t):
     return B.vocabulary(_rows(t)[1]).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(_VOCAB + """, cf AS (SELECT term, sum(tf) AS cf FROM ct GROUP BY 1)
+SELECT term, df, round(idf, 6) AS idf FROM vocab JOIN cf USING (term) ORDER BY cf DESC, term LIMIT 100""")
+def blk_vocab_cap(t):
+    return B.vocabulary(_rows(t)[1], max_terms=100).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(_CAND + "\nSELECT (SELECT count(*) FROM er_source1) AS n_source1, (SELECT count(*) FROM cand) AS n_candidates, (SELECT count(*) FROM er_pairs) AS n_pairs, (SELECT count(DISTINCT country) FROM er_source1) AS n_blocks")
+def cardinalities(t):
+    one, both = _rows(t)
+    sizes = one.agg(F.count("*").alias("n_source1"), F.count_distinct(F.nullif("block", F.lit(""))).alias("n_blocks"))
+    return sizes.crossJoin(both.agg(F.count("*").alias("n_candidates"))).crossJoin(t["er_pairs"].agg(F.count("*").alias("n_pairs")))  # one row each
+
+
 @query(_VOCAB + f", cw AS ({_weights('ct')})\nSELECT id, block, term, round(w, 6) AS w FROM cw")
 def blk_term_weights(t):
     rows = _rows(t)[1]
@@ -403,6 +416,13 @@ def negatives_invariants(t):
     return each.agg(F.sum("neg").alias("n_neg"), F.count(F.when((F.col("neg") > 0) & (F.col("pos") > 0), 1)).alias("n_positive"), F.count(F.when(F.col("neg") > 1, 1)).alias("n_repeated"))
 
 
+@query(_LISTS.replace("score >= 0.5", "score >= 0.3") + "\nSELECT 0.3::DOUBLE AS threshold, round(avg(f05), 6) AS macro_f05 FROM f")
+def threshold_sweep(t):
+    """The sweep at one threshold: its SQL states each one alone."""
+    found = E.threshold_sweep(blk_topk(t), t["er_truth"], [0.3])
+    return found.select("threshold", F.round("macro_f05", 6).alias("macro_f05"))
+
+
 @query()
 def gbt_scores(t):
     features = M.pair_features(_pairs(t, 1), t["er_source1"], _both(t))

@@ -63,6 +63,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
 def read_targets(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
     """The identifiers of all files, or None and a warning for each file that is missing."""
     missing = [f"{p} is missing, identifiers are not checked" for p in paths if not exists(spark, p)]

@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars.
 
-Each round is one aggregation and one join, both of which Spark can split for a
-hot node; the edge set is written to the shared folder between rounds, so
+Each round is two aggregations and two joins. Least neighbours are written before
+they are joined, so both sides of a join are plain exchanges and Spark can split
+a hot node; the edge set is written to the shared folder between rounds, so
 neither lineage nor the driver grows with it. Rounds grow with the logarithm of
 the graph's size.
 """
@@ -17,14 +18,20 @@ from .common import dropped, written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = written(least, "least")
+    found = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+    dropped(least)
+    return found
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     linked = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(least.select("u", F.col("m").alias("v")))
+    found = linked.unionByName(least.select("u", F.col("m").alias("v")))
+    after = written(found.where("u <> v").distinct(), "edges")
+    dropped(least)
+    return after
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,7 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = shape(now)
     while before[0]:
-        after = written(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
+        large = _large_star(now)
+        after = _small_star(large)
+        dropped(large)
         dropped(now)
         now, last, before = after, before, shape(after)
         if before == last:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspan.llm import exact_dedup, language_id, mixing, packing, simhash_dedup
+from linkspan.llm import exact_dedup, language_id, mixing, near_copies, packing
 from linkspan.llm.common import ship, written
 
 
@@ -27,9 +27,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the smallest identifier."""
+    """One document of each group of near copies (five-word Jaccard of 0.8 or more)
+    stays: the smallest identifier."""
     ship(spark)
-    return simhash_dedup.deduplicate(docs)
+    return near_copies.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

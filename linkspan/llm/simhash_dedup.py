@@ -216,18 +216,25 @@ def _buckets(nodes: DataFrame, blocks: int, radius: int) -> DataFrame:
     return chosen.select("fp", F.shiftleft("value", 8).bitwiseOR(F.col("choice")).alias("bucket"))
 
 
+def chunk_pairs(buckets: DataFrame, hot: DataFrame, bucket_rows: int) -> DataFrame:
+    """(fp, bucket), where a bucket of `hot` (bucket, count) is cut into chunks, and
+    each two of them are a bucket of their own."""
+    if hot.isEmpty():
+        return buckets
+    chunks = F.ceil(2 * F.col("count") / bucket_rows).cast("int")
+    cut = buckets.join(hot, "bucket", "left").withColumn("chunks", F.coalesce(chunks, F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    return cut.select("fp", F.when(F.col("chunks") == 1, F.col("bucket")).otherwise(pair).alias("bucket"))
+
+
 def links(nodes: DataFrame, radius: int = 4, bucket_rows: int = 8192) -> DataFrame:
     """(u, v) fingerprints: links within radius that connect what all links connect.
     nodes: a written table with one row for each distinct fp."""
     buckets = _buckets(nodes, blocks_for(nodes.count(), radius), radius)
     hot = written(buckets.groupBy("bucket").count().where(F.col("count") > bucket_rows), "hot")
-    if not hot.isEmpty():
-        chunks = F.ceil(2 * F.col("count") / bucket_rows).cast("int")
-        cut = buckets.join(hot, "bucket", "left").withColumn("chunks", F.coalesce(chunks, F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-        buckets = cut.select("fp", F.when(F.col("chunks") == 1, F.col("bucket")).otherwise(pair).alias("bucket"))
+    buckets = chunk_pairs(buckets, hot, bucket_rows)
     dealt = buckets.repartition("bucket").sortWithinPartitions("bucket", "fp")
     return dealt.mapInArrow(_links(radius), "u bigint, v bigint")
 
@@ -238,6 +245,12 @@ def decisions(prints: DataFrame, radius: int = 4, bucket_rows: int = 8192) -> Da
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
     nodes = written(prints.groupBy("fp").agg(first), "nodes")
     linked = written(components(links(nodes.select("fp"), radius, bucket_rows)), "components")
+    return labelled(prints, nodes, linked)
+
+
+def labelled(prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """prints (doc_id, tie, fp) with the first row of their component; nodes (fp, first)
+    and linked (node, root) are written tables."""
     best = nodes.join(linked, nodes.fp == linked.node).groupBy("root").agg(F.min("first").alias("best"))
     of = linked.join(best, "root").select(F.col("node").alias("fp"), "best")
     # written, so that the last join has two plain exchanges and Spark may split a hot fingerprint
@@ -249,6 +262,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one document of each component, columns unchanged: the one with the
     smallest identifier (of several rows with it, that of the smallest text hash)."""
     found = decisions(fingerprints(docs, id_col, text_col, shingle), radius)
+    return keep_first(docs, found, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that are the first of their component in `found`."""
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("component_tie"))
     stays = found.where(first).groupBy(F.col("doc_id").alias("stay_id"), F.col("tie").alias("stay_key")).agg(F.count("*").alias("ties"))
     return rows_that_stay(docs, written(stays, "stays"), id_col, F.xxhash64(text_or_empty(text_col)))

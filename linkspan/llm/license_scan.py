@@ -77,6 +77,7 @@ TEMPLATES = {
         "licensed under the mozilla public license version 2 0",
     ),
     "Proprietary": (
+        "all rights reserved",
         "all rights reserved no part of this work may be reproduced",
         "this document is confidential and proprietary",
     ),

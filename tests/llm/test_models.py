@@ -159,3 +159,8 @@ def test_shards_of_tricky_rows(spark, tricky, empty):
     same = spark.createDataFrame([(1, "x" * 30)] * 20, "doc_id bigint, text string")
     pages = [r.page for r in H.assign(same, 100).collect()]
     assert sorted(pages) == sorted(k // 3 for k in range(20))
+
+
+def test_all_rights_reserved(scanner):
+    text = "The cat is in the house.\nAll rights reserved."
+    assert [(text[a : a + n], f) for a, n, f, _, _ in S.spans(text, scanner)] == [("All rights reserved.", "Proprietary")]

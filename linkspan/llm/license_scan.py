@@ -1,6 +1,7 @@
 """License scans with a trained paragraph classifier.
 
-Paragraphs (sentences of a line) are classified by multinomial logistic
+Paragraphs (sentences of a line, sentences over line ends and whole stretches of
+lines up to a blank one) are classified by multinomial logistic
 regression on sparse word bigrams and trigrams into licence families or
 `unknown`. It is trained here by numpy gradient descent on the family templates
 below, each with words dropped, changed and surrounded at random, against
@@ -36,6 +37,7 @@ TEMPLATES = {
         "licensed under the apache license version 2 0",
         "you may not use this file except in compliance with the license",
         "distributed under the terms of the apache license version 2 0",
+        "licensed under the apache license",
     ),
     "BSD": (
         "redistribution and use in source and binary forms with or without modification are permitted",
@@ -62,10 +64,14 @@ TEMPLATES = {
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
         "licensed under the gpl version 2 or later",
+        "licensed under the gnu general public license",
+        "licensed under the gnu general public license v2 0",
+        "released under the gpl",
     ),
     "LGPL": (
         "licensed under the gnu lesser general public license version 3",
         "redistribute it under the terms of the gnu lesser general public license",
+        "licensed under the gnu lesser general public license",
     ),
     "MIT": (
         "released under the mit license",
@@ -75,6 +81,7 @@ TEMPLATES = {
     "MPL": (
         "this source code form is subject to the terms of the mozilla public license v 2 0",
         "licensed under the mozilla public license version 2 0",
+        "licensed under the mozilla public license",
     ),
     "Proprietary": (
         "all rights reserved",
@@ -82,6 +89,8 @@ TEMPLATES = {
         "this document is confidential and proprietary",
     ),
 }
+#: A word without which a family's templates, near those of another, confirm nothing.
+NEEDED = {"LGPL": "lesser"}
 #: Sentences of no family that share words with the templates.
 OTHER = (
     "the license plate of this car is from another state",
@@ -103,6 +112,9 @@ UNKNOWN = "unknown"
 VARIANTS, SALADS, EPOCHS, UNKNOWN_RATE, MIN_MATCH = 30, 300, 150, 0.005, 0.6
 
 _WORD = re.compile(r"[^\W_]+")
+#: Lines up to a blank one; ends of sentences and lines; ends of sentences only.
+_BLOCK = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")
+_STOP = re.compile(r"(?<=[.!?])\s+")
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+|\n+")
 
 
@@ -187,23 +199,51 @@ class Model:
         if k == 0 or chance[k] < self.least:
             return UNKNOWN, float(chance[0]), 0.0
         family, pairs = self.families[k], set(zip(words, words[1:]))
+        if family in NEEDED and NEEDED[family] not in words:
+            return UNKNOWN, float(chance[k]), 0.0
         match = max(len(t & pairs) / len(t) for t in self.templates[family])
         return (family if match >= MIN_MATCH else UNKNOWN), float(chance[k]), match
 
 
+def _pieces(text: str):
+    """(start, end) of the sentences of each line, then of every stretch of lines up
+    to a blank one: the stretch whole, and each of its sentences over line ends."""
+    for block in _BLOCK.finditer(text):
+        low, high = block.span()
+        single = list(_cuts(_SENTENCE, text, low, high))
+        joined = [*_cuts(_STOP, text, low, high), (low, high)] if "\n" in block.group() else []
+        yield single, [p for p in joined if p not in single]
+
+
+def _cuts(pattern: re.Pattern, text: str, low: int, high: int):
+    at = low
+    for cut in pattern.finditer(text, low, high):
+        yield at, cut.start()
+        at = cut.end()
+    yield at, high
+
+
 def spans(text: str, own: Model) -> list[tuple[int, int, str, float, float]]:
-    """(start, length, family, score, match) of the confirmed paragraphs of a text."""
-    out, known, at = [], own.vocabulary, 0
-    for cut in [*_SENTENCE.finditer(text), None]:
-        part = text[at : cut.start() if cut else len(text)]
-        lowered = part.lower()
-        words = _WORD.findall(lowered)
+    """(start, length, family, score, match) of the confirmed paragraphs of a text.
+    Sentences of a line come first; a longer piece counts where none of them, nor a
+    shorter piece, was confirmed inside it."""
+    out, known = [], own.vocabulary
+
+    def found(at: int, end: int):
+        words = _WORD.findall(text[at:end].lower())
         ids = list(map(known.get, words))
         if any(a and b for a, b in zip(ids, ids[1:])):
             family, score, match = own.classify(words)
             if family != UNKNOWN:
-                out.append((at, len(part), family, score, match))
-        at = cut.end() if cut else at
+                return at, end - at, family, score, match
+        return None
+
+    for single, joined in _pieces(text):
+        here = [s for at, end in single if (s := found(at, end))]
+        for at, end in joined:
+            if not any(at < s[0] + s[1] and s[0] < end for s in here) and (s := found(at, end)):
+                here.append(s)
+        out += sorted(here)
     return out
 
 

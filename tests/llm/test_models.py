@@ -164,3 +164,13 @@ def test_shards_of_tricky_rows(spark, tricky, empty):
 def test_all_rights_reserved(scanner):
     text = "The cat is in the house.\nAll rights reserved."
     assert [(text[a : a + n], f) for a, n, f, _, _ in S.spans(text, scanner)] == [("All rights reserved.", "Proprietary")]
+
+
+def test_wrapped_notices_and_short_forms(scanner):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation."
+    mit = "Permission is hereby granted, free of\ncharge, to any person obtaining a\ncopy of this software"
+    for family, notice in (("GPL", gpl), ("MIT", mit), ("GPL", "Licensed under the GNU General Public License v2.0"), ("GPL", "Licensed under the GNU General Public License"), ("LGPL", "Licensed under the GNU Lesser General Public License")):
+        text = f"The cat is in the house.\n\n{notice}\n\nAnd a dog.\n"
+        assert [(text[a : a + n], f) for a, n, f, _, _ in S.spans(text, scanner)] == [(notice, family)]
+    text = f"Cats are kept here.\n{mit}. Dogs as well.\nAnd birds."
+    assert [(text[a : a + n], f) for a, n, f, _, _ in S.spans(text, scanner)] == [(mit + ".", "MIT")]

@@ -32,11 +32,14 @@ from .tokens import encoder
 END_ID = 0
 #: Nodes looked at for one completion, and for the exact tail.
 COMPLETION_NODES, TAIL_NODES = 4000, 50_000
+#: Items of a filling up to which dominance is decided.
+DOMINATED = 64
 
 
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether a's items, as bins, can hold all items of b (both descending)."""
-    if sum(b) > sum(a):
+    """Whether a's items, as bins, can hold all items of b (both descending). Of more
+    than DOMINATED items it isn't looked at: a filling too many costs only time."""
+    if sum(b) > sum(a) or len(b) > DOMINATED:
         return False
 
     def place(k: int, room: list[int]) -> bool:
@@ -60,29 +63,31 @@ def completions(lengths: list[int], counts: dict[int, int], room: int, nodes: in
     found: list[tuple[int, tuple[int, ...]]] = []
     left = nodes
 
-    def search(room: int, below: int, chosen: list[int]) -> bool:
+    def search(room: int, top: int, chosen: list[int], full: bool) -> bool:
+        """A level takes a length as often as it goes, then less often, so levels
+        are as many as a filling's distinct lengths, not as its items."""
         nonlocal left
         left -= 1
-        k = bisect_right(lengths, min(room, below)) - 1
-        maximal = True
+        k = min(top, bisect_right(lengths, room) - 1)
+        if k < 0:
+            # no smaller item fits; larger ones may, unless they were skipped on purpose
+            if full:
+                found.append((room, tuple(chosen)))
+            return full and room == 0
         while k >= 0 and left > 0:
             x = lengths[k]
-            if counts[x] > chosen.count(x):
-                maximal = False
-                chosen.append(x)
-                if search(room - x, x, chosen):
+            most = min(counts[x], room // x)
+            for m in range(most, 0, -1):
+                if search(room - m * x, k - 1, chosen + [x] * m, m == most):
                     return True
-                chosen.pop()
-                if len(found) >= wanted * 4 and not chosen:
+                if left <= 0 or len(found) >= wanted * 4 and not chosen:
                     break
+            if len(found) >= wanted * 4 and not chosen:
+                break
             k -= 1
-        if maximal and not (k >= 0):
-            # no smaller item fits; larger ones may, unless they were skipped on purpose
-            found.append((room, tuple(chosen)))
-            return room == 0
         return False
 
-    search(room, room, [])
+    search(room, len(lengths) - 1, [], True)
     found.sort(key=lambda x: (x[0], tuple(-i for i in x[1])))
     kept: list[tuple[int, ...]] = []
     for _, filling in found:

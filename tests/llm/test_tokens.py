@@ -142,3 +142,15 @@ def test_pack_whole_documents(spark, tricky, empty):
         assert at <= 2048
     assert len(places) == -(-sum(r.length for r in rows) // 2048)
     assert P.pack(P.pieces(empty)).count() == 0
+
+
+def test_plan_with_thousands_of_short_pieces():
+    for histogram in ({1: 5000}, {2: 3000}, {1: 4000, 2: 4000, 900: 3, 2048: 2}, {1: 3000, 2: 1500, 3: 10, 700: 400}):
+        patterns, used = P.plan(histogram, 2048), {}
+        for repeats, pattern in patterns:
+            assert sum(pattern) <= 2048
+            for x in pattern:
+                used[x] = used.get(x, 0) + repeats
+        assert used == histogram
+        half = -(-sum(n for x, n in histogram.items() if x > 2048 // 3) // 2)  # 700: two go together
+        assert sum(r for r, _ in patterns) == max(half if 700 in histogram else 0, -(-sum(x * n for x, n in histogram.items()) // 2048))

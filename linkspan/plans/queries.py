@@ -425,10 +425,10 @@ def threshold_sweep(t):
 
 @query()
 def gbt_scores(t):
-    features = M.pair_features(_pairs(t, 1), t["er_source1"], _both(t))
-    return M.score(features, M.fit(features, trees=5, depth=4))
+    features = M.pair_features(_pairs(t), t["er_source1"], _both(t)).cache()
+    return M.score(features, M.fit(features))
 
 
 @query()
 def run_evaluation(t):
-    return E.run_evaluation(t["er_source1"], t["er_source2"], t["er_source3"], t["er_truth"], neg_ratio=2, trees=5, depth=4)[0]
+    return E.run_evaluation(t["er_source1"], t["er_source2"], t["er_source3"], t["er_truth"])[0]

@@ -177,3 +177,26 @@ def test_profile_of_an_empty_table(spark, er):
     assert {r.pct for r in profile.missing_pct(none).collect()} == {0.0}
     assert profile.non_ascii(none, "business_name").first().n_rows == 0
     assert evaluation.macro(evaluation.entity_scores(er["er_truth"].limit(0), er["er_truth"].limit(0))).first().macro_f05 == 0
+
+
+def test_trained_queries_fit_the_defaults(monkeypatch):
+    import inspect
+
+    from linkspan.plans import queries as Q
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    calls, defaults = [], inspect.signature(matching.fit).parameters
+    monkeypatch.setattr(Q.M, "fit", lambda features, **k: calls.append(k))
+    monkeypatch.setattr(Q.M, "score", lambda features, model: features)
+    monkeypatch.setattr(Q.M, "pair_features", lambda *a, **k: Frame())
+    monkeypatch.setattr(Q, "_pairs", lambda t, ratio=5: calls.append(ratio))
+    monkeypatch.setattr(Q, "_both", lambda t: None)
+    monkeypatch.setattr(Q.E, "run_evaluation", lambda *a, **k: calls.append(k) or [None])
+    tables = dict.fromkeys(("er_source1", "er_source2", "er_source3", "er_truth"))
+    Q.gbt_scores(tables)
+    Q.run_evaluation(tables)
+    assert calls == [5, {}, {}]
+    assert (defaults["trees"].default, defaults["depth"].default) == (300, 6)

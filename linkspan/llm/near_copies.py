@@ -2,16 +2,22 @@
 
 A text is the set of its five-word shingles' hashes; equal sets fold to one node.
 Two sets of which one has n hashes can only reach the similarity if they meet in
-its n - ceil(0.8 n) + 1 smallest ones (prefix filter), so bucketing by these
-misses no pair: unlike SimHash within any radius, it has no chance to lose one.
-Within a bucket, pairs go that can't reach the similarity by their sizes or by
-their cells: hashes are counted in CELLS cells, and the sum of the lesser counts
-is never below the intersection (for pairs of long sets again with more cells).
-What stays is confirmed by the exact Jaccard of
-the whole sets before it is linked. Near rows of a bucket are confirmed first;
-rows that are in one component by then aren't compared again, so a large group of
-near copies doesn't make all its pairs. Buckets over `bucket_rows` rows are cut
-into chunks whose pairs are separate groups, as in simhash_dedup.
+the first n - ceil(0.8 n) + 1 of a common order (prefix filter), so bucketing by
+these misses no pair. The order is rare ones first, by a sketch of ORDER_CELLS
+counters over the shingles of all documents: a passage that many documents share
+comes last and fills no bucket. Any order finds every pair.
+
+Rows of a bucket are compared by SimHash as in simhash_dedup, bit-sliced with
+carry-save counters, on fingerprints of BITS bits: at similarity 0.8 a bit
+differs with a chance of 0.152 (0.188 where sets have a few hashes), so RADIUS is
+seven standard deviations off, and unrelated rows ten on the other side. Sets
+below SMALL hashes skip the fingerprints. What is near is confirmed by the exact
+Jaccard of the whole sets, after a bound by counts of their hashes.
+First, rows next to each other in the buckets of their FIRST_PLACES rarest hashes
+are confirmed and joined; then all buckets that still hold two components, and in
+them only rows of different ones, so a large group of copies doesn't make all its
+pairs. Buckets over `bucket_rows` rows are cut into chunks whose pairs are
+separate groups, as in simhash_dedup.
 
 Edge cases: null texts and texts without words are the empty set, and equal to
 each other. With fewer words than a shingle has, the whole sequence is the one
@@ -29,12 +35,16 @@ from pyspark.sql import functions as F
 
 from .common import dropped, text_or_empty, written
 from .components import components
-from .simhash_dedup import COMPARE_ROWS, chunk_pairs, keep_first, labelled
+from .simhash_dedup import COMPARE_ROWS, Planes, chunk_pairs, keep_first, labelled
 
-#: Words of a shingle, and counts of hashes kept for each set (one byte each).
-SHINGLE, CELLS = 5, 128
-#: Distances within a sorted bucket: near rows are confirmed and joined before the rest.
-LAGS = ((1, 4), (5, None))
+#: Words of a shingle; counters of the order; least cells of a set's counts.
+SHINGLE, ORDER_CELLS, CELLS = 5, 1 << 16, 128
+#: Bits of a fingerprint, differing bits up to which a pair is confirmed, and sets that skip this.
+BITS, RADIUS, SMALL = 512, 136, 32
+#: The first round: buckets of so many first hashes, rows up to so far apart.
+FIRST_PLACES, FIRST_LAGS = 3, 3
+#: Pairs and shingles handled in one go.
+PAIRS, BLOCK = 1 << 18, 1 << 13
 
 
 def shingle_set(text: bytes, seed: int = 42) -> np.ndarray:
@@ -65,23 +75,68 @@ def alike(both, n, m):
     return 9 * both >= 4 * (n + m)
 
 
-def _prints(batches):
-    import xxhash
-
+def _cells_of(batches):
+    """(cell, n): how often the shingles of all documents fall into each counter."""
+    total, held, size = np.zeros(ORDER_CELLS, dtype=np.int64), [], 0
     for batch in batches:
-        keys, sizes, cells, prefixes = [], [], [], []
         for t in batch.column("text"):
-            own = shingle_set(t.as_buffer().to_pybytes())
-            keys.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
-            sizes.append(len(own))
-            counts = np.bincount(own & (CELLS - 1), minlength=CELLS)
-            # a count that a byte can't hold: no bound is known for this set
-            cells.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
-            prefixes.append(own[: prefix_size(len(own))])
-        offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-        prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *prefixes])))
-        columns = [batch.column("doc_id"), batch.column("tie"), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(cells, pa.binary()), prefix]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "fp", "n", "cells", "prefix"])
+            held.append(shingle_set(t.as_buffer().to_pybytes()) & (ORDER_CELLS - 1))
+            size += len(held[-1])
+            if size > PAIRS:
+                total += np.bincount(np.concatenate(held), minlength=ORDER_CELLS)
+                held, size = [], 0
+    if held:
+        total += np.bincount(np.concatenate(held), minlength=ORDER_CELLS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """The sketch over all rows (text: binary); the driver holds ORDER_CELLS numbers."""
+    counted = rows.select("text").mapInArrow(_cells_of, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(ORDER_CELLS, dtype=np.int64)
+    total[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    return total
+
+
+def simhash(own: np.ndarray) -> bytes:
+    """The fingerprint of a set: each hash is mixed with BITS / 64 numbers to as many words."""
+    ones, lanes = np.zeros(BITS, dtype=np.int64), np.arange(BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(own), BLOCK):
+        x = own[at : at + BLOCK].view(np.uint64)[:, None] ^ lanes
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(own), bitorder="little").tobytes()
+
+
+def prefix(own: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """The hashes of a set that come first in the common order: rare ones, then by value."""
+    size = prefix_size(len(own))
+    rarity = frequency[own & (ORDER_CELLS - 1)]
+    return own[np.lexsort((own, rarity))[:size]]
+
+
+def _prints(frequency):
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            keys, sizes, sims, prefixes = [], [], [], []
+            for t in batch.column("text"):
+                own = shingle_set(t.as_buffer().to_pybytes())
+                keys.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
+                sizes.append(len(own))
+                sims.append(simhash(own))
+                prefixes.append(prefix(own, frequency.value))
+            offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *prefixes])))
+            columns = [batch.column("doc_id"), batch.column("tie"), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sims, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "fp", "n", "sim", "prefix"])
+
+    return run
 
 
 def wide_cells(own: np.ndarray) -> bytes:
@@ -113,37 +168,39 @@ def _near(batches):
         yield batch.select(["u", "v"]).filter(pa.array(stays, pa.bool_()))
 
 
-def candidates(bucket: np.ndarray, root: np.ndarray, n: np.ndarray, cells: list[bytes], low: int, high: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one bucket, `low` to `high` rows apart and of different roots,
-    that may be alike; rows are sorted by bucket."""
+def candidates(bucket: np.ndarray, root: np.ndarray, n: np.ndarray, prints: np.ndarray, lags: int | None):
+    """Pairs (two arrays of rows, again and again) of one bucket and different roots, up
+    to `lags` rows apart, that may be alike; rows are sorted by bucket."""
     rows = np.arange(len(bucket))
-    none = np.zeros(0, dtype=np.int64)
-    if not len(rows):
-        return none, none
-    runs = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    runs = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else rows
     width = np.diff(np.r_[runs, len(rows)])
-    end, longest = np.repeat(runs + width, width), int(width.max())
-    known = np.array([len(c) > 0 for c in cells])
-    counts = np.frombuffer(b"".join(c or bytes(CELLS) for c in cells), dtype=np.uint8).reshape(-1, CELLS)
-    found = [(none, none)]
-    for lag in range(low, longest if high is None else min(high + 1, longest)):
+    end, longest = np.repeat(runs + width, width), int(width.max(initial=0))
+    planes, found, size = Planes(prints), [], 0
+    for lag in range(1, longest if lags is None else min(lags + 1, longest)):
         rows = rows[rows + lag < end[rows]]
         a = rows[root[rows] != root[rows + lag]]
         a = a[alike(np.minimum(n[a], n[a + lag]), n[a], n[a + lag])]
-        most = np.minimum(counts[a], counts[a + lag]).sum(axis=1, dtype=np.int64)
-        a = a[alike(most, n[a], n[a + lag]) | ~known[a] | ~known[a + lag]]
+        small = np.minimum(n[a], n[a + lag]) < SMALL
+        wanted = np.zeros(len(bucket), dtype=bool)
+        wanted[a[~small]] = True
+        a = np.concatenate([a[small], planes.within(lag, wanted, RADIUS)])
         found.append((a, a + lag))
-    return tuple(np.concatenate(x) for x in zip(*found))
+        size += len(a)
+        if size > PAIRS:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+            found, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _candidates(low: int, high: int | None):
+def _candidates(lags: int | None):
     def run(batches):
         def out(held: pa.Table):
             fp = held["fp"].to_numpy()
-            a, b = candidates(held["bucket"].to_numpy(), held["root"].to_numpy(), held["n"].to_numpy(), held["cells"].to_pylist(), low, high)
-            u, v = np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])
-            once = np.unique(np.stack([u, v], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
+            prints = np.frombuffer(b"".join(held["sim"].to_pylist()), dtype="<u8").reshape(len(fp), -1)
+            for a, b in candidates(held["bucket"].to_numpy(), held["root"].to_numpy(), held["n"].to_numpy(), prints, lags):
+                once = np.unique(np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -156,11 +213,11 @@ def _candidates(low: int, high: int | None):
             keys = rows["bucket"].to_numpy()
             last = int(np.searchsorted(keys, keys[-1]))
             if last:
-                yield out(rows.slice(0, last))
+                yield from out(rows.slice(0, last))
             held = rows.slice(last).to_batches()
             size -= last
         if size:
-            yield out(pa.Table.from_batches(held))
+            yield from out(pa.Table.from_batches(held))
 
     return run
 
@@ -193,31 +250,35 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """doc_id, tie, fp (of the set) of every document with its component, as in simhash_dedup."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("text"))
-    prints = written(rows.mapInArrow(_prints, "doc_id bigint, tie bigint, fp bigint, n bigint, cells binary, prefix array<bigint>"), "prints")
+    order = docs.sparkSession.sparkContext.broadcast(frequencies(rows))
+    prints = written(rows.mapInArrow(_prints(order), "doc_id bigint, tie bigint, fp bigint, n bigint, sim binary, prefix array<bigint>"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
-    nodes = written(prints.groupBy("fp").agg(first), "nodes")
-    entries = prints.select("fp", F.explode("prefix").alias("bucket"))
-    # a bucket matters where two rows meet; repeated texts only make one too many
+    nodes = written(prints.groupBy("fp").agg(first, *(F.first(c).alias(c) for c in ("n", "sim", "prefix"))), "nodes")
+    entries = nodes.select("fp", F.posexplode("prefix").alias("place", "bucket"))
     counts = written(entries.groupBy("bucket").count().where("count > 1"), "counts")
-    shared = written(entries.join(counts.select("bucket"), "bucket").distinct(), "shared")
-    hot = written(counts.where(F.col("count") > bucket_rows), "hot")
-    dealt = written(chunk_pairs(shared, hot, bucket_rows), "dealt")
-    dropped(shared)
-    sizes = written(prints.join(dealt.select("fp").distinct(), "fp").groupBy("fp").agg(F.first("n").alias("n"), F.first("cells").alias("cells")), "sizes")
-    linked, edges = None, None
-    for low, high in LAGS:
-        rows = sizes.withColumn("root", F.col("fp"))
-        if linked is not None:
-            rows = sizes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "n", "cells", F.coalesce("root", "fp").alias("root"))
-        met = dealt.join(rows, "fp").select("bucket", "fp", "root", "n", "cells").repartition("bucket").sortWithinPartitions("bucket", "fp")
-        pairs = written(met.mapInArrow(_candidates(low, high), "u bigint, v bigint").distinct(), "pairs")
-        if linked is not None and pairs.isEmpty():
-            break
-        found = confirmed(pairs, nodes, docs, id_col, text_col)
-        dropped(pairs)
-        edges = found if edges is None else edges.unionByName(found)
+    shared = written(entries.join(counts, "bucket"), "shared")
+    dropped(counts)
+
+    def near(met: DataFrame, linked: DataFrame | None, lags: int | None) -> DataFrame:
+        """The near pairs of different components among rows (fp, bucket), a written table."""
+        sizes = met.groupBy("bucket").count()
+        hot = written(sizes.where(F.col("count") > bucket_rows), "hot")
+        dealt = chunk_pairs(met, hot, bucket_rows).join(nodes.select("fp", "n", "sim"), "fp")
+        root = F.col("fp") if linked is None else F.coalesce("root", "fp")
+        dealt = dealt if linked is None else dealt.join(linked, F.col("fp") == F.col("node"), "left")
+        dealt = dealt.select("bucket", "fp", root.alias("root"), "n", "sim").repartition("bucket").sortWithinPartitions("bucket", "fp")
+        return written(dealt.mapInArrow(_candidates(lags), "u bigint, v bigint").distinct(), "pairs")
+
+    pairs = near(shared.where(F.col("place") < FIRST_PLACES).select("fp", "bucket"), None, FIRST_LAGS)
+    edges = confirmed(pairs, nodes, docs, id_col, text_col)
+    linked = written(components(edges), "components")
+    own = shared.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "bucket", F.coalesce("root", "fp").alias("root"))
+    apart = written(own.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket"), "apart")
+    again = near(written(shared.join(apart, "bucket", "left_semi").select("fp", "bucket"), "met"), linked, None)
+    if not again.isEmpty():
+        edges = edges.unionByName(confirmed(again, nodes, docs, id_col, text_col))
         linked = written(components(edges), "components")
-    return labelled(prints.select("doc_id", "tie", "fp"), nodes, linked)
+    return labelled(prints.select("doc_id", "tie", "fp"), nodes.select("fp", "first"), linked)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

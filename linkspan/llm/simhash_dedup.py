@@ -78,19 +78,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return written(rows.mapInArrow(_fingerprints(shingle, seed), "doc_id bigint, tie bigint, fp bigint"), "prints")
 
 
+def _full_add(a, b, c):
+    """Sum and carry of three words of lanes."""
+    x = a ^ b
+    return x ^ c, (a & b) | (x & c)
+
+
 class Planes:
-    """Fingerprints stored as 64 bit planes, compared lag by lag."""
+    """Fingerprints stored as bit planes, compared lag by lag.
+
+    prints: one unsigned 64-bit word a row, or several (a row of a matrix)."""
 
-    GROUP = 8
+    GROUP = 7  # planes that carry-save adders turn into one number of three bits
 
     def __init__(self, prints: np.ndarray):
-        n = len(prints)
-        self.n, self.words = n, -(-n // 64)
-        padded = np.zeros((self.words + 1) * 64, dtype="<u8")
+        prints = prints.reshape(len(prints), -1)
+        n, width = prints.shape
+        self.n, self.words, self.bits = n, -(-n // 64), 64 * width
+        padded = np.zeros(((self.words + 1) * 64, width), dtype="<u8")
         padded[:n] = prints
-        bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
         packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-        self.planes = np.ascontiguousarray(packed).view("<u8")  # 64 planes of words + 1
+        self.planes = np.ascontiguousarray(packed).view("<u8")  # each of words + 1
 
     def within(self, lag: int, wanted: np.ndarray, radius: int) -> np.ndarray:
         """Rows i of `wanted` (a mask over rows) whose row i + lag is within radius bits."""
@@ -101,19 +110,32 @@ class Planes:
         live = live[at]
         skip, shift = divmod(lag, 64)
         counters = [np.zeros(len(at), dtype=np.uint64) for _ in range((radius + 1).bit_length())]
-        for plane in range(0, 64, self.GROUP):
+
+        def differing(p):
+            row = self.planes[p]
+            other = row[at + skip]
+            if shift:
+                other = (other >> np.uint64(shift)) | (row[np.minimum(at + skip + 1, self.words)] << np.uint64(64 - shift))
+            return row[at] ^ other
+
+        for plane in range(0, self.bits, self.GROUP):
             if not len(at):
                 return at
-            for p in range(plane, plane + self.GROUP):
-                row = self.planes[p]
-                other = row[at + skip]
-                if shift:
-                    other = (other >> np.uint64(shift)) | (row[np.minimum(at + skip + 1, self.words)] << np.uint64(64 - shift))
-                carry = row[at] ^ other
-                for k, c in enumerate(counters):
-                    counters[k], carry = c ^ carry, c & carry
-                live = live & ~carry  # a counter that overflows is beyond the radius
-            live = live & ~_exceeds(counters, radius)
+            x = [differing(p) for p in range(plane, min(plane + self.GROUP, self.bits))]
+            x += [np.zeros(len(at), dtype=np.uint64)] * (self.GROUP - len(x))
+            one, carry_a = _full_add(*x[:3])
+            two, carry_b = _full_add(*x[3:6])
+            ones, carry_c = _full_add(one, two, x[6])
+            number = (ones, *_full_add(carry_a, carry_b, carry_c))
+            carry = np.zeros(len(at), dtype=np.uint64)
+            for k in range(max(len(counters), 3)):
+                if k >= len(counters):
+                    live = live & ~number[k]  # more than a counter can hold is beyond the radius
+                elif k < 3:
+                    counters[k], carry = _full_add(counters[k], number[k], carry)
+                else:
+                    counters[k], carry = counters[k] ^ carry, counters[k] & carry
+            live = live & ~carry & ~_exceeds(counters, radius)
             stays = np.flatnonzero(live)
             if len(stays) < len(at):
                 at, live, counters = at[stays], live[stays], [c[stays] for c in counters]

@@ -88,3 +88,33 @@ def test_cells_never_lose_a_pair():
             if N.alike(both, len(a), len(b)):
                 assert N.may_be_alike(N.wide_cells(a), N.wide_cells(b), len(a), len(b))
     assert not N.may_be_alike(N.wide_cells(np.arange(0, 9000, 2)), N.wide_cells(np.arange(1, 9000, 2)), 4500, 4500)
+
+
+def test_fingerprints_never_lose_a_pair():
+    draw, distances = np.random.default_rng(4), []
+    for n in [N.SMALL] * 200 + [60] * 100 + [300] * 60 + [3000] * 20:
+        a = np.unique(draw.integers(-(2**63), 2**63 - 1, n))
+        for keep, more in ((n - n // 5, 0), (n - n // 9, n // 9)):  # 0.8 by what is gone, and by what is other
+            b = np.unique(np.r_[a[:keep], draw.integers(-(2**63), 2**63 - 1, more)])
+            if len(b) >= N.SMALL and N.alike(len(np.intersect1d(a, b)), len(a), len(b)):
+                x, y = (np.frombuffer(N.simhash(s), np.uint8) for s in (a, b))
+                distances.append(int(np.unpackbits(x ^ y).sum()))
+        c = np.frombuffer(N.simhash(np.unique(draw.integers(-(2**63), 2**63 - 1, n))), np.uint8)
+        assert int(np.unpackbits(c ^ np.frombuffer(N.simhash(a), np.uint8)).sum()) > N.RADIUS
+    assert len(distances) > 300 and max(distances) <= N.RADIUS
+
+
+def test_rare_hashes_come_first():
+    own = np.arange(40, dtype=np.int64)
+    frequency = np.zeros(N.ORDER_CELLS, dtype=np.int64)
+    frequency[:20] = 1000
+    assert N.prefix(own, frequency).tolist() == list(range(20, 29))
+
+
+def test_a_passage_of_all_documents(spark):
+    draw = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, passage + " " + " ".join(f"u{draw.randrange(99999)}" for _ in range(80))) for k in range(300)]
+    rows += [(300 + k, rows[k][1] + " more") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(r.doc_id for r in N.deduplicate(docs).collect()) == list(range(300)) == brute(rows)

@@ -2,14 +2,18 @@
 
 Documents become pieces of at most `capacity` tokens. Only lengths matter to a
 packing, so the search works on the histogram of piece lengths: `capacity` rows
-at most, however large the corpus is. The largest remaining piece opens a
-sequence; its undominated completions (maximal sets of remaining lengths, minus
-those whose items another completion's items could hold) are enumerated by
-waste, and a choice is repeated as often as the histogram allows. The last
-`tail` pieces are searched exactly: branches are pruned by the waste they have
-spent against the incumbent's, and best fit gives the first incumbent. The plan
-says for each length which ranks go where; pieces are ranked within their length
-by task and place in it, so no length is ever gathered in one task.
+at most, however large the corpus is. Best-fit decreasing of the whole histogram
+is the first incumbent. The search branches over the whole histogram: the largest
+length left opens a sequence, and its undominated completions (maximal sets of
+remaining lengths, minus those whose items an earlier completion's items could
+hold) are tried one after the other, each as often as the histogram allows, then
+half as often, and so on down to once. A branch ends where the sequences it has
+and the waste bound of what is left (Martello and Toth's second bound) can't beat
+the incumbent; best fit of what is left gives new incumbents on the way. So the
+plan never has more sequences than best fit, and is optimal where the search ends
+by itself or meets the bound. `nodes` limits its steps (None: no limit, the exact
+way). The plan says for each length which ranks go where; pieces are ranked within
+their length by task and place in it, so no length is ever gathered in one task.
 
 Edge cases: null text is empty and holds the end id alone; repeated rows are
 packed once each; null identifiers are carried along; an empty table gives no
@@ -19,7 +23,8 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,12 @@ from .common import table, text_or_empty, written
 from .tokens import encoder
 
 END_ID = 0
-#: Nodes looked at for one completion, and for the exact tail.
-COMPLETION_NODES, TAIL_NODES = 4000, 50_000
+#: Steps of the search before the incumbent is taken: a length tried in a filling is one,
+#: a branch with its bound BRANCH_STEPS, a best fit one for each length.
+NODES = 500_000
+BRANCH_STEPS = 32
+#: Fillings ordered by their waste at a time.
+WINDOW = 16
 #: Items of a filling up to which dominance is decided.
 DOMINATED = 64
 
@@ -56,118 +65,189 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return place(0, list(a))
 
 
-def completions(lengths: list[int], counts: dict[int, int], room: int, nodes: int = COMPLETION_NODES, wanted: int = 8) -> list[tuple[int, ...]]:
-    """Undominated fillings of room, by waste and then larger items first.
-    lengths: ascending lengths with counts above 0. The search stops early at a
-    filling without waste: larger items come first, so it is the preferred one."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    left = nodes
+class _Spent(Exception):
+    """No steps are left."""
 
-    def search(room: int, top: int, chosen: list[int], full: bool) -> bool:
-        """A level takes a length as often as it goes, then less often, so levels
-        are as many as a filling's distinct lengths, not as its items."""
-        nonlocal left
-        left -= 1
+
+class Steps:
+    def __init__(self, nodes: int | None):
+        self.left = float("inf") if nodes is None else nodes
+
+    def take(self, n: int = 1) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise _Spent
+
+
+def _maximal(lengths: list[int], counts, room: int, steps: Steps) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, filling) of the sets of lengths that leave no room for another one,
+    larger items first. A level takes a length as often as it goes, then less often,
+    so levels are as many as a filling's distinct lengths, not as its items."""
+
+    def search(room: int, top: int, chosen: tuple[int, ...], skipped: int):
+        """skipped: the least length that is left over so far."""
         k = min(top, bisect_right(lengths, room) - 1)
         if k < 0:
-            # no smaller item fits; larger ones may, unless they were skipped on purpose
-            if full:
-                found.append((room, tuple(chosen)))
-            return full and room == 0
-        while k >= 0 and left > 0:
+            if room < skipped:
+                yield room, chosen
+            return
+        while k >= 0:
             x = lengths[k]
             most = min(counts[x], room // x)
             for m in range(most, 0, -1):
-                if search(room - m * x, k - 1, chosen + [x] * m, m == most):
-                    return True
-                if left <= 0 or len(found) >= wanted * 4 and not chosen:
-                    break
-            if len(found) >= wanted * 4 and not chosen:
-                break
+                steps.take()
+                yield from search(room - m * x, k - 1, chosen + (x,) * m, skipped if m == counts[x] else x)
+            if room >= x:
+                skipped = min(skipped, x)
             k -= 1
-        return False
 
-    search(room, len(lengths) - 1, [], True)
-    found.sort(key=lambda x: (x[0], tuple(-i for i in x[1])))
-    kept: list[tuple[int, ...]] = []
-    for _, filling in found:
-        if filling not in kept and not any(dominates(k, filling) for k in kept):
-            kept.append(filling)
-        if len(kept) == wanted:
-            break
-    return kept or [()]
-
-
-def best_fit(items: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing."""
-    bins: list[tuple[int, list[int]]] = []
-    for x in sorted(items, reverse=True):
-        fits = [(room, k) for k, (room, _) in enumerate(bins) if room >= x]
-        if fits:
-            room, k = min(fits)
-            bins[k] = (room - x, [*bins[k][1], x])
-        else:
-            bins.append((capacity - x, [x]))
-    return [b for _, b in bins]
-
-
-def exact_tail(items: list[int], capacity: int, nodes: int = TAIL_NODES) -> list[list[int]]:
-    """Branch and bound over completions; optimal unless the nodes run out."""
-    best = best_fit(items, capacity)
-    least = -(-sum(items) // capacity)
-    if len(best) <= least:
-        return best
-    left = nodes
-
-    def search(counts: dict[int, int], done: list[list[int]], waste: int) -> None:
-        nonlocal best, left
-        left -= 1
-        lengths = sorted(x for x, n in counts.items() if n)
-        if not lengths:
-            if len(done) < len(best):
-                best = list(done)
-            return
-        # every sequence short of the incumbent's number leaves this much waste in all
-        if left < 0 or waste > (len(best) - 1) * capacity - sum(items) or len(best) <= least:
-            return
-        top = lengths[-1]
-        rest = dict(counts)
-        rest[top] -= 1
-        open_lengths = [x for x in lengths if rest[x]]
-        for filling in completions(open_lengths, rest, capacity - top, wanted=64):
-            for x in filling:
-                rest[x] -= 1
-            search(rest, [*done, [top, *filling]], waste + capacity - top - sum(filling))
-            for x in filling:
-                rest[x] += 1
-
-    counts: dict[int, int] = {}
-    for x in items:
-        counts[x] = counts.get(x, 0) + 1
-    search(counts, [], 0)
-    return best
+    yield from search(room, len(lengths) - 1, (), room + 1)
 
 
-def plan(histogram: dict[int, int], capacity: int, tail: int = 40) -> list[tuple[int, tuple[int, ...]]]:
-    """(repeats, lengths) patterns that use up the histogram of lengths 1..capacity."""
-    counts = {x: n for x, n in histogram.items() if n > 0}
-    if any(not 0 < x <= capacity for x in counts):
-        raise ValueError("a piece is longer than a sequence or empty")
-    lengths, patterns, total = sorted(counts), [], sum(counts.values())
-    while total > tail:
-        top = lengths[-1]
-        counts[top] -= 1
-        filling = completions([x for x in lengths if counts[x]], counts, capacity - top)[0]
+def completions(lengths: list[int], counts, room: int, steps: Steps | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of room, in windows ordered by waste. lengths: ascending,
+    with counts above 0; counts may change between two fillings if it changes back."""
+    steps = steps or Steps(None)
+    kept: list[tuple[int, ...]] = []
+    window: list[tuple[int, tuple[int, ...]]] = []
+
+    def ordered():
+        steps.take(len(kept))
+        for waste, filling in sorted(window, key=lambda f: (f[0], tuple(-x for x in f[1]))):
+            if not any(dominates(k, filling) for k in kept):
+                kept.append(filling)
+                yield filling
+
+    for found in _maximal(lengths, counts, room, steps):
+        window.append(found)
+        if found[0] == 0 or len(window) == WINDOW:
+            yield from ordered()
+            window.clear()
+    yield from ordered()
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Best-fit decreasing as (repeats, lengths): sequences with the same room move together."""
+    rooms: list[int] = []
+    open_: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+
+    def add(room: int, n: int, pattern: tuple[int, ...]) -> None:
+        if room not in open_:
+            insort(rooms, room)
+            open_[room] = []
+        open_[room].append((n, pattern))
+
+    for x in sorted((x for x, n in counts.items() if n), reverse=True):
+        n = counts[x]
+        while n:
+            at = bisect_left(rooms, x)
+            room = rooms[at] if at < len(rooms) else capacity
+            bins, pattern = open_[room].pop() if at < len(rooms) else (n, ())
+            if at < len(rooms) and not open_[room]:
+                del open_[room]
+                del rooms[at]
+            each = room // x  # after the first one, this sequence stays the tightest that x fits
+            full = min(bins, n // each)
+            if full:
+                add(room - each * x, full, pattern + (x,) * each)
+            n -= full * each
+            if full < bins:
+                rest = min(n, each - 1)
+                if rest:
+                    add(room - rest * x, 1, pattern + (x,) * rest)
+                n -= rest
+                if pattern and bins - full - (rest > 0):
+                    add(room, bins - full - (rest > 0), pattern)
+    return [group for groups in open_.values() for group in groups]
+
+
+def least_sequences(counts: np.ndarray, capacity: int) -> int:
+    """Martello and Toth's second bound; counts: the pieces of each length 0..capacity."""
+    number, area = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    half = capacity // 2
+    a = np.r_[0, np.flatnonzero(counts[: half + 1])]
+    alone = number[capacity] - number[capacity - a]
+    large = number[capacity - a] - number[half]
+    free = large * capacity - (area[capacity - a] - area[half])
+    small = area[half] - np.where(a > 0, area[a - 1], 0)
+    return int((alone + large + np.maximum(0, -((free - small) // capacity))).max())
+
+
+def _branches(lengths: list[int], counts: list[int], capacity: int, steps: Steps) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(repeats, pattern) around the largest length: each completion as often as it goes,
+    then half as often, down to once. The counts are back in place when it goes on."""
+    top = lengths[-1]
+    counts[top] -= 1
+    rest = [x for x in lengths if counts[x]]
+    for filling in completions(rest, counts, capacity - top, steps):
         counts[top] += 1
         pattern = (top, *filling)
         repeats = min(counts[x] // pattern.count(x) for x in set(pattern))
+        while repeats:
+            yield repeats, pattern
+            repeats //= 2
+        counts[top] -= 1
+    counts[top] += 1
+
+
+def plan(histogram: dict[int, int], capacity: int, nodes: int | None = NODES) -> list[tuple[int, tuple[int, ...]]]:
+    """(repeats, lengths) patterns that use up the histogram of lengths 1..capacity."""
+    if any(not 0 < x <= capacity for x, n in histogram.items() if n > 0):
+        raise ValueError("a piece is longer than a sequence or empty")
+    counts = [0] * (capacity + 1)
+    for x, n in histogram.items():
+        counts[x] = max(0, n)
+    table, steps = np.array(counts, dtype=np.int64), Steps(nodes)
+    best = best_fit(dict(enumerate(counts)), capacity)
+    fewest, least = sum(n for n, _ in best), least_sequences(table, capacity)
+    path: list[tuple[int, tuple[int, ...]]] = []  # what the branches so far have taken
+    used = 0
+
+    def move(repeats: int, pattern: tuple[int, ...], way: int) -> None:
+        nonlocal used
+        used += way * repeats
         for x in pattern:
-            counts[x] -= repeats
-        total -= repeats * len(pattern)
-        lengths = [x for x in lengths if counts[x]]
-        patterns.append((repeats, pattern))
-    rest = [x for x in lengths for _ in range(counts[x])]
-    return patterns + [(1, tuple(b)) for b in exact_tail(rest, capacity)]
+            counts[x] -= way * repeats
+            table[x] -= way * repeats
+
+    def opened(mark: int):
+        """The branches of what is left, or None where none can win; mark: the pieces
+        that were left at the last best fit."""
+        nonlocal best, fewest
+        lengths = np.flatnonzero(table).tolist()
+        left = int(table.sum())
+        steps.take(BRANCH_STEPS)
+        if used + (least_sequences(table, capacity) if lengths else 0) >= fewest:
+            return None
+        if not lengths:
+            best, fewest = list(path), used
+            return None
+        if 2 * left <= mark:
+            steps.take(len(lengths))
+            rest, mark = best_fit({x: counts[x] for x in lengths}, capacity), left
+            if (n := used + sum(n for n, _ in rest)) < fewest:
+                best, fewest = [*path, *rest], n
+        return _branches(lengths, counts, capacity, steps), mark
+
+    try:
+        stack = [frame] if fewest > least and (frame := opened(int(table.sum()))) else []
+        while stack and fewest > least:
+            branch, mark = stack[-1]
+            taken = next(branch, None)
+            if taken is None:
+                stack.pop()
+                if stack:
+                    move(*path.pop(), -1)
+                continue
+            path.append(taken)
+            move(*taken, 1)
+            if frame := opened(mark):
+                stack.append(frame)
+            else:
+                move(*path.pop(), -1)
+    except _Spent:
+        pass
+    return best
 
 
 def _pieces(vocabulary: str, capacity: int):

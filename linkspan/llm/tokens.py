@@ -5,6 +5,8 @@ characters, so the pieces between such blanks have ids that don't depend on thei
 neighbours: each distinct piece goes through the library once and is remembered.
 Texts where a blank meets another blank are encoded by the library in stretches
 that begin at such a cut, so the ids are those of the whole text in every case.
+The same goes for texts with one of the vocabulary's special strings, which the
+library turns into that string's own id wherever it stands.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """ids(text) as little-endian unsigned 32-bit integers, without special tokens.
+    """ids(text) as little-endian unsigned 32-bit integers; no special tokens are added.
 
     blanks_matter: whether white space is part of the ids (byte-level vocabularies)
     or dropped by the vocabulary's normaliser.
@@ -81,8 +83,8 @@ class Encoder:
 
         path = name if os.path.sep in name else public_tokenizers.path(name)
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         self.vocabulary = tokenizer.get_vocab_size()
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         model = tokenizer.model
 
         def encode(text: str) -> bytes:
@@ -97,6 +99,8 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(mark in text for mark in self.special):
+            return self._stretches(text)
         self.pieces.trim()
         if not self.blanks_matter:
             return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))

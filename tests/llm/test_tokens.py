@@ -10,12 +10,11 @@ from linkspan.llm import packing as P
 from linkspan.llm import token_store as R
 from linkspan.llm import tokens as T
 
-ALPHABET = ["a", "B", "word", "é", " ", "  ", "\n", "\t", "\r\n", ".", ",", "'s", "1", "23", "中", " ", "!", "​", "́", "<|endoftext|>", "😀", "\x1c", "᠎"]
+ALPHABET = ["a", "B", "word", "é", " ", "  ", "\n", "\t", "\r\n", ".", ",", "'s", "1", "23", "中", " ", "!", "​", "́", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "😀", "\x1c", "᠎"]
 
 
 def library(name):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -79,22 +78,69 @@ def fewest(items, capacity):
     return best if items else 0
 
 
-def test_exact_tail_is_optimal():
+def whole(patterns, histogram, capacity):
+    """The number of sequences of a plan that uses each piece once."""
+    used = {}
+    for repeats, pattern in patterns:
+        assert 0 < sum(pattern) <= capacity and repeats > 0
+        for x in pattern:
+            used[x] = used.get(x, 0) + repeats
+    assert used == {x: n for x, n in histogram.items() if n}
+    return sum(r for r, _ in patterns)
+
+
+def test_plans_are_optimal_on_small_histograms():
     draw = random.Random(4)
-    for _ in range(150):
+    for k in range(400):
         capacity = draw.choice([10, 20, 30])
-        items = [draw.randint(1, capacity) for _ in range(draw.randrange(11))]
-        bins = P.exact_tail(items, capacity)
-        assert sorted(x for b in bins for x in b) == sorted(items)
-        assert all(sum(b) <= capacity for b in bins) and len(bins) == fewest(items, capacity)
-
-
-def test_dominance_and_completions():
-    assert P.dominates((7,), (4, 3)) and not P.dominates((4, 3), (7,)) and P.dominates((5, 4), (4, 3, 1))
-    assert P.completions([2, 3, 4], {2: 1, 3: 1, 4: 1}, 7)[0] == (4, 3)
-    assert P.completions([], {}, 7) == [()]
-    found = P.completions([3, 4, 5], {3: 2, 4: 1, 5: 1}, 8)
-    assert found[0] == (5, 3)
+        low, high = draw.choice([(1, capacity), (capacity // 4, capacity // 2), (2, capacity // 3)])
+        items = [draw.randint(low, high) for _ in range(draw.randrange(11))]
+        histogram = {x: items.count(x) for x in items}
+        assert whole(P.plan(histogram, capacity, nodes=None), histogram, capacity) == fewest(items, capacity)
+
+
+def plain_best_fit(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fits = [r for r in rooms if r >= x]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - x)
+    return sorted(rooms)
+
+
+def test_best_fit_of_a_histogram_is_that_of_its_items():
+    draw = random.Random(8)
+    for _ in range(300):
+        capacity = draw.choice([12, 50, 100])
+        histogram = {draw.randint(1, capacity): draw.randint(1, 30) for _ in range(draw.randrange(12))}
+        groups = P.best_fit(histogram, capacity)
+        whole(groups, histogram, capacity)
+        rooms = sorted(capacity - sum(p) for n, p in groups for _ in range(n))
+        assert rooms == plain_best_fit([x for x, n in histogram.items() for _ in range(n)], capacity)
+
+
+def test_never_more_sequences_than_best_fit():
+    draw, better = random.Random(9), 0
+    for k in range(1000):
+        capacity, low, high = draw.choice([(100, 20, 50), (150, 30, 75), (2048, 515, 1000), (256, 1, 256), (100, 26, 40)])
+        histogram = {}
+        for _ in range(draw.randrange(1, 300)):
+            x = draw.randint(low, high)
+            histogram[x] = histogram.get(x, 0) + draw.choice([1, 1, 2, 50])
+        n = whole(P.plan(histogram, capacity, nodes=2000), histogram, capacity)
+        plain = sum(r for r, _ in P.best_fit(histogram, capacity))
+        assert lower_bound(histogram, capacity) <= n <= plain
+        better += n < plain
+    assert better > 20
+
+
+def test_bound_is_the_plain_one():
+    draw = random.Random(2)
+    for _ in range(200):
+        histogram = {draw.randint(1, 40): draw.randint(1, 9) for _ in range(10)}
+        counts = np.array([histogram.get(x, 0) for x in range(41)])
+        assert P.least_sequences(counts, 40) == lower_bound(histogram, 40)
 
 
 def lower_bound(histogram, capacity):

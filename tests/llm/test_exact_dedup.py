@@ -1,5 +1,7 @@
+import time
 from collections import defaultdict
 
+import numpy as np
 from linkspan.llm import exact_dedup as E
 
 
@@ -56,3 +58,54 @@ def test_many_arrow_batches_in_a_task(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {r.doc_id: (r.keep_id, r.group_size) for r in rows} == {i: (i + 700, 2) if i < 300 else (i, 2 if i >= 700 else 1) for i in range(1000)}
+
+
+def entries(draw, n, words):
+    """A batch of n entries over few keys; keys often share their first words."""
+    keys = draw.integers(0, words, (n, 6)).astype(">u8")
+    keys[:, 1:5] = 0
+    one = np.ones(n, dtype="<i8")
+    return keys, draw.integers(-5, 5, n), np.arange(n) + draw.integers(0, 99), one, one, one
+
+
+def test_merges_against_a_dictionary():
+    draw = np.random.default_rng(1)
+    for largest in (False, True):
+        for _ in range(200):
+            held, want = E.Runs(largest), {}
+            for _ in range(draw.integers(1, 9)):
+                batch = entries(draw, int(draw.integers(1, 40)), int(draw.integers(1, 12)))
+                for key, i, row in zip(batch[0], batch[1].tolist(), batch[2].tolist()):
+                    rank, n, ties = want.get(key.tobytes(), (None, 0, 0))
+                    new = (-i if largest else i, row)
+                    same = rank is not None and rank[0] == new[0]
+                    best = new if rank is None or new < rank else rank
+                    want[key.tobytes()] = (best, n + 1, ties + 1 if same else 1 if best is new else ties)
+                held.add(E._run(*batch, largest=largest))
+            keys, ids, rows, counts, _, ties = held.whole()
+            got = {k.tobytes(): ((-i if largest else i, r), c, t) for k, i, r, c, t in zip(keys, ids.tolist(), rows.tolist(), counts.tolist(), ties.tolist())}
+            assert [k.tobytes() for k in keys] == sorted(want) and got == want
+
+
+def test_a_task_is_linear_in_its_rows():
+    draw, took = np.random.default_rng(2), []
+    for n in (20, 80):
+        batches = []
+        for _ in range(n):
+            keys = draw.integers(0, 2**63, (5000, 6)).astype(">u8")
+            batches.append((keys, np.arange(5000), np.arange(5000), *[np.ones(5000, dtype="<i8")] * 3))
+        start, held = time.process_time(), E.Runs(False)
+        for batch in batches:
+            held.add(E._run(*batch, largest=False))
+        assert len(held.whole()[1]) == 5000 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0]  # four times the rows; quadratic would be sixteen
+
+
+def test_rounds_of_many_partitions(spark):
+    docs = spark.range(4000).selectExpr("id doc_id", "concat('t', id % 1500) text").repartition(23)
+    prints = E.fingerprints(docs).repartition(23)
+    for fold in (1, 2, 3):
+        rows = E.winners(prints, "largest", fold, range_entries=16).collect()
+        assert len(rows) == 1500 and sum(r.group_size for r in rows) == 4000
+        assert {r.keep_id for r in rows} == set(range(2500, 4000))

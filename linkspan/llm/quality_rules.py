@@ -1,19 +1,23 @@
 """Line-first quality rules, in DataFrame functions only.
 
 Each line with a word is judged by itself: `punctuation` (symbols or exclamation
-marks crowd the line, or it shouts in capitals), `navigation` (it is a row of
-separated labels), `boilerplate` (it repeats an earlier line, or is a short line
-with a stock phrase). Failing lines are removed, and a document is rejected where
-less than MIN_KEPT of its lines' characters are left, or where its base measures fail.
+marks crowd the line, it shouts in capitals, or it breaks off with dots),
+`navigation` (it is a row of labels between separators, or of a breadcrumb's
+arrows), `boilerplate` (it repeats an earlier line, or is a short line with a stock
+phrase of one of the four languages). Failing lines are removed, and a document is
+rejected where less than MIN_KEPT of its lines' characters are left, or where its
+base measures fail.
 
 All measures are array expressions over one row: nothing is exploded, joined or
 shuffled. Repeated three-word windows are found by sorting one 64-bit integer for
-each window: its hash above, its position in the low bits (so a text of n words
-compares 64 - log2(n) bits of hash).
+each window: its hash above, its position in the low bits. Windows whose hashes
+meet are compared by their words; where two differ, that text's windows are sorted
+by their words instead, so the numbers are exact for texts of any length.
 
 Edge cases: null and blank texts have no words, fail the base and aren't kept;
-repeated rows and null identifiers are judged like any other; an empty table
-gives no rows; extra columns are ignored by `measures` and kept by `clean`.
+texts of any length are judged whole; repeated rows and null identifiers are judged
+like any other, and equal texts get equal measures; an empty table gives no rows;
+extra columns are ignored by `measures` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -24,17 +28,24 @@ from pyspark.sql import functions as F
 from .common import BLANKS, WORD, table, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
-#: Fixed phrases of short boilerplate lines, lower case.
+#: Fixed phrases of short boilerplate lines in English, German, Spanish and French, lower case.
 BOILERPLATE = (
-    "all rights reserved", "accept cookies", "click here", "cookie policy", "enable javascript",
-    "log in", "privacy policy", "read more", "sign up", "subscribe", "terms of service", "terms of use",
+    "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "log in", "privacy policy",
+    "read more", "sign up", "subscribe", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutz", "hier klicken", "impressum", "jetzt anmelden", "mehr lesen", "nutzungsbedingungen",
+    "aviso legal", "haga clic", "leer más", "política de cookies", "política de privacidad", "suscríbete", "todos los derechos reservados",
+    "cliquez ici", "lire la suite", "mentions légales", "politique de confidentialité", "s'abonner", "tous droits réservés",
 )
+#: Characters between the labels of a navigation line.
+SEPARATORS = "|»›•·→"
 BOILERPLATE_LENGTH = 200
+#: The end of a line that breaks off.
+BROKEN = "(\\.\\.\\.|…)[ \\t]*$"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A line fails where it has more than these shares of its characters.
 SYMBOL_SHARE, SHOUT_SHARE, SEPARATOR_SHARE = 0.1, 0.05, 0.05
-#: Shorter lines may be all capitals.
-CAPITALS_LENGTH = 20
+#: Shorter lines may be all capitals; a line that breaks off has so many characters at most.
+CAPITALS_LENGTH, BROKEN_LENGTH = 20, 100
 MIN_KEPT = 0.6
 
 
@@ -46,42 +57,63 @@ def _count(column, pattern: str):
 def line_passes(line):
     """The rules on one line that has a word."""
     size = F.length(line)
-    shouts, bars = _count(line, "[!]"), _count(line, "[|]")
+    shouts, bars = _count(line, "[!]"), _count(line, f"[{SEPARATORS}]")
     capitals = ~line.rlike("\\p{Ll}") & line.rlike("\\p{Lu}") & (size >= CAPITALS_LENGTH)
     phrase = (size <= BOILERPLATE_LENGTH) & F.lower(line).rlike("|".join(BOILERPLATE))
     return ~(
         (_count(line, f"[{SYMBOLS}]") > SYMBOL_SHARE * size)
         | ((shouts > SHOUT_SHARE * size) & (shouts >= 2))
         | capitals
+        | ((size <= BROKEN_LENGTH) & line.rlike(BROKEN))
         | ((bars > SEPARATOR_SHARE * size) & (bars >= 2))
         | phrase
     )
 
 
-def _repeat_words(words, n):
+def _bound(value, f):
+    """f of a value that is evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _covered(places):
+    """Words inside windows of three that begin at these ascending places."""
+    steps = F.transform(places, lambda x, j: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(places, j + 1), x + 3) - x))
+    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+
+def _repeated(sorted_, key):
+    """The items of a sorted array whose key a neighbour has."""
+    return F.filter(sorted_, lambda x, j: key(x).eqNullSafe(key(F.get(sorted_, j - 1))) | key(x).eqNullSafe(key(F.get(sorted_, j + 1))))
+
+
+def _by_words(w):
+    """Places of repeated windows, by their words."""
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.struct(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("words"), i.cast("bigint").alias("at")))
+    same = _bound(F.sort_array(windows), lambda s: _repeated(s, lambda x: x["words"]))
+    return F.sort_array(F.transform(same, lambda x: x["at"]))
+
+
+def _repeat_words(words, n, window_hash=F.xxhash64):
     """Words inside three-word windows that occur twice or more."""
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(n))) - 1
 
-    def windows(w, m):
-        marked = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(m)).bitwiseOR(i.cast("bigint")),
-        )
-        return F.sort_array(marked)
-
-    def repeated(s, m):
+    def count(t):
+        w, m = t["w"], t["m"]
         above = lambda x: x.bitwiseAND(F.bitwise_not(m))
-        same = F.filter(s, lambda x, j: (above(x).eqNullSafe(above(F.get(s, j - 1)))) | (above(x).eqNullSafe(above(F.get(s, j + 1)))))
-        return F.sort_array(F.transform(same, lambda x: x.bitwiseAND(m)))
+        at = lambda x: x.bitwiseAND(m).cast("int")
+        window = lambda i: F.struct(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        marked = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: above(window_hash(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))).bitwiseOR(i.cast("bigint")))
 
-    def covered(p):
-        steps = F.transform(p, lambda x, j: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(p, j + 1), x + 3) - x))
-        return F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, b: a + b)
+        def verified(same):
+            """Neighbours that share a hash must share their words, else all are compared by words."""
+            differ = F.exists(F.sequence(F.lit(1), F.size(same) - 1), lambda j: above(F.get(same, j)).eqNullSafe(above(F.get(same, j - 1))) & (window(at(F.get(same, j))) != window(at(F.get(same, j - 1)))))
+            clash = F.when(F.size(same) > 1, differ).otherwise(F.lit(False))
+            by_hash = F.sort_array(F.transform(same, lambda x: x.bitwiseAND(m)))
+            return _bound(F.when(clash, _by_words(w)).otherwise(by_hash), _covered)
 
-    def bound(value, f):  # evaluates value once, however often f uses it
-        return F.element_at(F.transform(F.array(value), f), 1)
+        return _bound(F.sort_array(marked), lambda s: _bound(_repeated(s, above), verified))
 
-    found = bound(F.struct(words.alias("w"), mask.alias("m")), lambda t: bound(windows(t["w"], t["m"]), lambda s: bound(repeated(s, t["m"]), covered)))
+    found = _bound(F.struct(words.alias("w"), mask.alias("m")), count)
     return F.when(n >= 3, found).otherwise(F.lit(0).cast("bigint"))
 
 
@@ -124,7 +156,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures(table(spark, sf_dir, "documents").select("doc_id", "text")).select(_COLUMNS)
 
 
-_PHRASES = "|".join(BOILERPLATE)
+_PHRASES = "|".join(BOILERPLATE).replace("'", "''")
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}
 ORACLES = {
@@ -139,10 +171,11 @@ l AS (SELECT k, unnest(list_distinct(lines)) AS x FROM w),
 m AS (SELECT k, x, length(x) AS size,
              length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS symbols,
              length(regexp_replace(x, '[^!]+', '', 'g')) AS shouts,
-             length(regexp_replace(x, '[^|]+', '', 'g')) AS bars FROM l),
+             length(regexp_replace(x, '[^{SEPARATORS}]+', '', 'g')) AS bars FROM l),
 good AS (SELECT k, sum(size) AS kept_chars FROM m
          WHERE NOT (symbols > {SYMBOL_SHARE} * size OR (shouts > {SHOUT_SHARE} * size AND shouts >= 2)
                     OR (NOT regexp_matches(x, '\p{{Ll}}') AND regexp_matches(x, '\p{{Lu}}') AND size >= {CAPITALS_LENGTH})
+                    OR (size <= {BROKEN_LENGTH} AND regexp_matches(x, '(\.\.\.|…)[ \t]*$'))
                     OR (bars > {SEPARATOR_SHARE} * size AND bars >= 2)
                     OR (size <= {BOILERPLATE_LENGTH} AND regexp_matches(lower(x), '{_PHRASES}'))) GROUP BY k),
 b AS (SELECT k, doc_id, CAST(len(words) AS BIGINT) AS n_words,

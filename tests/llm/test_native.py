@@ -30,6 +30,26 @@ def test_base_measures_against_plain_python(spark, tricky, empty):
     assert Q.measures(empty).count() == 0
 
 
+def test_windows_whose_hashes_clash_are_compared_by_words(spark):
+    from pyspark.sql import functions as F
+
+    draw = random.Random(7)
+    texts = [" ".join(draw.choice(["a", "b", "c", "dé", "e"]) for _ in range(draw.randrange(60))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("w", F.array_remove(F.split("text", " "), ""))
+    for clash in (lambda *w: F.lit(-7).cast("bigint"), lambda *w: F.xxhash64(*w[:1]), lambda *w: F.shiftleft(F.xxhash64(*w), 60)):
+        for r in docs.withColumn("n", F.size("w")).withColumn("got", Q._repeat_words(F.col("w"), F.col("n"), clash)).collect():
+            assert r.got == brute_base(r.text)[4], r.text
+
+
+def test_line_rules(spark):
+    bad = ["Inicio » Noticias » Contacto", "Start › Hilfe › Kontakt", "und so weiter ...", "Leer más…", "Alle Rechte vorbehalten", "Lire la suite", "Tous droits réservés.", "AVISO LEGAL", "$$$ cheap ###"]
+    good = ["Das Haus ist alt.", "La casa es vieja, y el perro también.", "He waited ... and then left.", "Zimmer 3 · Küche ist frei und sehr schön gelegen am Rande der Stadt"]
+    rows = spark.createDataFrame([(x,) for x in bad + good], "x string")
+    from pyspark.sql import functions as F
+
+    assert {r.x for r in rows.where(Q.line_passes(F.col("x"))).collect()} == set(good)
+
+
 def test_lines_are_cleaned_and_documents_judged(spark):
     good = [" ".join(f"word{i}x{j}" for j in range(12)) + "." for i in range(8)]
     bad = ["Home | News | About | Contact", "BUY!! NOW!! CHEAP!! STUFF!!", "### *** $$$ %%% &&&", "Click here to subscribe", "THIS LINE IS SHOUTED AT YOU", good[0]]

@@ -1,13 +1,14 @@
 """Quality classifier with supervised subword embeddings.
 
-Words, their character n-grams and pairs of equal words are hashed to rows of an
-embedding table. A
-document is the average of its features' vectors, a softmax over the classes
-reads it, and both are trained together by numpy stochastic gradient descent on
-a bounded sample of labelled documents (TRAIN_ROWS of them, by the hash of the
-identifier). As the averages are linear, a trained model is one number for each
-feature; scoring adds up, for each distinct word, the numbers of its features,
-and remembers them, so whole texts cost one look-up a word.
+Words, their character n-grams and pairs of neighbouring words are hashed to rows
+of an embedding table. A document is the average of its features' vectors, a
+softmax over the classes reads it, and both are trained together by numpy
+stochastic gradient descent on a bounded sample of labelled documents (TRAIN_ROWS
+of them, by the hash of the identifier). Of these, one in CALIBRATION isn't fitted
+but scales the softmax. As the averages are linear, a trained model is one number
+for each feature; scoring adds up, for each distinct word, the numbers of its
+features, and remembers them, so whole texts cost one look-up a word and one hash
+in arrays a pair.
 
 Edge cases: null and blank texts have no features and get the score of the bias
 alone; if there are no labels, or labels of one class only, every score is the
@@ -19,7 +20,6 @@ are ignored.
 from __future__ import annotations
 
 import zlib
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,56 +29,76 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 from .language_id import held_out
 
-BUCKETS, DIMENSIONS = 1 << 15, 8
+BUCKETS, DIMENSIONS = 1 << 16, 8
 GRAMS = (3, 4)
-#: The bucket of pairs of equal words; hashes stay below it.
-SAME = BUCKETS - 1
-TRAIN_ROWS = 3000
+TRAIN_ROWS, CALIBRATION = 3000, 5
 EPOCHS, RATE, OUT_RATE = 6, 5.0, 0.05
 #: Words remembered by a worker, and the longest word that is.
 REMEMBERED, LONG_WORD = 500_000, 64
 
 
+def word_hash(word: str) -> int:
+    return zlib.crc32(f"<{word}>".encode("utf-8", "replace"))
+
+
 def features(word: str) -> list[int]:
     """Buckets of the word and of the n-grams of <word>."""
     marked = f"<{word}>".encode("utf-8", "replace")
-    out = [zlib.crc32(marked) % SAME]
+    out = [zlib.crc32(marked) % BUCKETS]
     for n in GRAMS:
-        out += [zlib.crc32(marked[k : k + n], n) % SAME for k in range(len(marked) - n + 1)]
+        out += [zlib.crc32(marked[k : k + n], n) % BUCKETS for k in range(len(marked) - n + 1)]
     return out
 
 
-def repeats(words: list[str]) -> int:
-    """Word pairs of one word twice: all of them share the feature SAME, since each
-    pair's own bucket would say nothing about other words that are repeated."""
-    return sum(map(eq, words, words[1:]))
+def pairs(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of neighbouring words; hashes: word_hash of each word. A pair
+    is hashed by the difference of its words' hashes, so pairs of one word twice meet in
+    one bucket whichever word it is, and what is learned of one holds for all."""
+    x = hashes[1:] - hashes[:-1]
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return (x >> np.uint32(32 - (BUCKETS.bit_length() - 1))).astype(np.int64)
 
 
 def _document_features(batches):
     """Each training document's distinct buckets and their shares."""
-    memo: dict[str, list[int]] = {}
+    memo: dict[str, tuple[list[int], int]] = {}
     for batch in batches:
         buckets, shares = [], []
         for text in batch.column("text").to_pylist():
             found: list[int] = []
-            words = text.split()
-            for word in words:
+            hashes: list[int] = []
+            for word in text.split():
                 own = memo.get(word)
                 if own is None:
-                    own = features(word)
+                    own = features(word), word_hash(word)
                     if len(memo) < REMEMBERED and len(word) <= LONG_WORD:
                         memo[word] = own
-                found += own
-            found += [SAME] * repeats(words)
-            counts = np.bincount(found, minlength=1) if found else np.zeros(1, dtype=np.int64)
+                found += own[0]
+                hashes.append(own[1])
+            every = np.concatenate([np.array(found, dtype=np.int64), pairs(np.array(hashes, dtype=np.uint32))])
+            counts = np.bincount(every, minlength=1)
             at = np.flatnonzero(counts)
             buckets.append(at.astype("<u4").tobytes())
-            shares.append((counts[at] / max(1, len(found))).astype("<f4").tobytes())
+            shares.append((counts[at] / max(1, len(every))).astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("_id"), batch.column("label"), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())], names=["_id", "label", "buckets", "shares"]
         )
 
 
+def step(table: np.ndarray, out: np.ndarray, at: np.ndarray, p: np.ndarray, label: int, weight: float, rate: float, out_rate: float) -> None:
+    """One gradient step, in place, on one document: buckets `at` with shares `p`."""
+    hidden = p @ table[at]
+    score = hidden @ out
+    chance = np.exp(score - score.max())
+    chance /= chance.sum()
+    chance[label] -= 1
+    error = weight * chance
+    back = out @ error
+    out -= out_rate * np.outer(hidden, error)
+    table[at] -= rate * np.outer(p, back)
+
+
 class Model:
     """logit(document) = mean of weights over its features + bias."""
 
@@ -95,24 +115,21 @@ class Model:
         table = draw.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
         out = draw.normal(0, 0.5, (DIMENSIONS, 2))
         weight = np.array([0.5 / (1 - share), 0.5 / share])  # both classes weigh the same in all
-        steps, done = EPOCHS * len(rows), 0
+        kept = np.arange(len(rows)) % CALIBRATION == 0
+        if len({labels[k] for k in np.flatnonzero(kept)}) < 2 or len({labels[k] for k in np.flatnonzero(~kept)}) < 2:
+            kept[:] = False  # too few rows to spare any
+        fit = np.flatnonzero(~kept)
+        steps, done = EPOCHS * len(fit), 0
         for _ in range(EPOCHS):
-            for k in draw.permutation(len(rows)):
+            for k in draw.permutation(fit):
                 label, at, p = rows[k]
-                rate, done = RATE * (1 - done / steps), done + 1
-                hidden = p @ table[at]
-                score = hidden @ out
-                chance = np.exp(score - score.max())
-                chance /= chance.sum()
-                chance[label] -= 1
-                error = weight[label] * chance
-                back = out @ error
-                out -= OUT_RATE * np.outer(hidden, error)
-                table[at] -= rate * np.outer(p, back)
-        # read the average's scale off the training rows, so that the softmax is calibrated
+                step(table, out, at, p, label, weight[label], RATE * (1 - done / steps), OUT_RATE)
+                done += 1
+        # read the average's scale off the rows that weren't fitted, so that the softmax is calibrated
         spread = table @ (out[:, 1] - out[:, 0])
-        logits = np.array([p @ spread[at] if len(at) else 0.0 for _, at, p in rows])
-        return cls(*_calibrated(spread, logits, np.array(labels)))
+        other = np.flatnonzero(kept) if kept.any() else fit
+        logits = np.array([rows[k][2] @ spread[rows[k][1]] if len(rows[k][1]) else 0.0 for k in other])
+        return cls(*_calibrated(spread, logits, np.array(labels)[other]))
 
 
 def _calibrated(spread: np.ndarray, logits: np.ndarray, labels: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
@@ -147,26 +164,35 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     class Words(dict):
-        """word -> complex(sum of its features' weights, their number)"""
+        """word -> a place in arrays: the sum of its features' weights, their number, its hash"""
+
+        def reset(self):
+            self.clear()
+            self.used, self.sums, self.numbers, self.hashes = 0, np.zeros(1 << 16), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.uint32)
 
         def __missing__(self, word):
-            at = features(word)
-            value = complex(shared.value[0][at].sum(), len(at))
+            k, at = self.used, features(word)
+            if k == len(self.sums):
+                self.sums, self.numbers, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.numbers, self.hashes))
+            self.sums[k], self.numbers[k], self.hashes[k] = shared.value[0][at].sum(), len(at), word_hash(word)
+            self.used += 1
             if len(word) <= LONG_WORD:
-                self[word] = value
-            return value
+                self[word] = k
+            return k
 
     def run(batches):
-        words, bias, same = Words(), shared.value[1], float(shared.value[0][SAME])
+        words, (weights, bias) = Words(), shared.value
+        words.reset()
         for batch in batches:
             logits = []
             for text in batch.column("_text").to_pylist():
-                if len(words) > REMEMBERED:
-                    words.clear()
+                if words.used > REMEMBERED:
+                    words.reset()
                 own = text.split()
-                again = repeats(own)
-                total = sum(map(words.__getitem__, own), complex(again * same, again))
-                logits.append(total.real / total.imag + bias if total.imag else bias)
+                at = np.fromiter(map(words.__getitem__, own), dtype=np.int64, count=len(own))
+                number = int(words.numbers[at].sum()) + max(0, len(own) - 1)
+                total = words.sums[at].sum() + weights[pairs(words.hashes[at])].sum() if number else 0.0
+                logits.append(total / max(1, number) + bias)
             chance = 1 / (1 + np.exp(-np.clip(np.array(logits, dtype=np.float64), -30, 30)))
             arrays = [batch.column(k) for k in range(len(keep))] + [pa.array(chance), pa.array((chance >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[: len(keep)], "score", "predicted"])

@@ -4,17 +4,49 @@ Each round is two aggregations and two joins. Least neighbours are written befor
 they are joined, so both sides of a join are plain exchanges and Spark can split
 a hot node; the edge set is written to the shared folder between rounds, so
 neither lineage nor the driver grows with it. Rounds grow with the logarithm of
-the graph's size.
+the graph's size; before the first one, each task replaces the edges it reads by
+a forest of depth one, so few are needed.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, written
 
 
+def _stars(batches):
+    """The edges of a task as edges to the smallest node that they lead to."""
+    u, v = [], []
+    for batch in batches:
+        u.append(batch.column("u").to_numpy())
+        v.append(batch.column("v").to_numpy())
+    if not u:
+        return
+    u, v = np.concatenate(u), np.concatenate(v)
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = spanned(len(nodes), at[: len(u)], at[len(u) :])
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["u", "v"])
+
+
+def spanned(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over the edges a, b."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -41,7 +73,8 @@ def components(edges: DataFrame) -> DataFrame:
         row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s")).first()
         return tuple(row)
 
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    stars = edges.where("u <> v").select("u", "v").mapInArrow(_stars, "u bigint, v bigint")
+    now = written(stars.distinct(), "edges")
     before = shape(now)
     while before[0]:
         large = _large_star(now)

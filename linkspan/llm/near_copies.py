@@ -44,7 +44,7 @@ BITS, RADIUS, SMALL = 512, 136, 32
 #: The first round: buckets of so many first hashes, rows up to so far apart.
 FIRST_PLACES, FIRST_LAGS = 3, 3
 #: Pairs and shingles handled in one go.
-PAIRS, BLOCK = 1 << 18, 1 << 13
+PAIRS, BLOCK = 1 << 20, 1 << 13
 
 
 def shingle_set(text: bytes, seed: int = 42) -> np.ndarray:
@@ -82,7 +82,7 @@ def _cells_of(batches):
         for t in batch.column("text"):
             held.append(shingle_set(t.as_buffer().to_pybytes()) & (ORDER_CELLS - 1))
             size += len(held[-1])
-            if size > PAIRS:
+            if size > PAIRS:  # a few MB of hashes
                 total += np.bincount(np.concatenate(held), minlength=ORDER_CELLS)
                 held, size = [], 0
     if held:
@@ -168,29 +168,38 @@ def _near(batches):
         yield batch.select(["u", "v"]).filter(pa.array(stays, pa.bool_()))
 
 
+def _ends(changes: np.ndarray) -> np.ndarray:
+    """For each row the end of its run, where changes marks the runs' first rows."""
+    runs = np.flatnonzero(changes)
+    width = np.diff(np.r_[runs, len(changes)])
+    return np.repeat(runs + width, width)
+
+
 def candidates(bucket: np.ndarray, root: np.ndarray, n: np.ndarray, prints: np.ndarray, lags: int | None):
     """Pairs (two arrays of rows, again and again) of one bucket and different roots, up
-    to `lags` rows apart, that may be alike; rows are sorted by bucket."""
+    to `lags` rows apart, that may be alike; rows are sorted by bucket and root."""
     rows = np.arange(len(bucket))
-    runs = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else rows
-    width = np.diff(np.r_[runs, len(rows)])
-    end, longest = np.repeat(runs + width, width), int(width.max(initial=0))
-    planes, found, size = Planes(prints), [], 0
-    for lag in range(1, longest if lags is None else min(lags + 1, longest)):
-        rows = rows[rows + lag < end[rows]]
-        a = rows[root[rows] != root[rows + lag]]
-        a = a[alike(np.minimum(n[a], n[a + lag]), n[a], n[a + lag])]
-        small = np.minimum(n[a], n[a + lag]) < SMALL
-        wanted = np.zeros(len(bucket), dtype=bool)
-        wanted[a[~small]] = True
-        a = np.concatenate([a[small], planes.within(lag, wanted, RADIUS)])
-        found.append((a, a + lag))
-        size += len(a)
-        if size > PAIRS:
-            yield tuple(np.concatenate(x) for x in zip(*found))
-            found, size = [], 0
-    if size:
-        yield tuple(np.concatenate(x) for x in zip(*found))
+    if not len(rows):
+        return
+    other = np.r_[True, bucket[1:] != bucket[:-1]]
+    end = _ends(other)
+    low = _ends(other | np.r_[True, root[1:] != root[:-1]])  # rows of one root stand together
+    high = end if lags is None else np.maximum(low, np.minimum(end, rows + 1 + lags))
+    for a, b in Planes(prints).near(low, high, RADIUS):
+        fits = alike(np.minimum(n[a], n[b]), n[a], n[b]) & (np.minimum(n[a], n[b]) >= SMALL)
+        yield a[fits], b[fits]
+    # a small set's partners have 5/4 of its hashes at most
+    some = np.flatnonzero(4 * n < 5 * SMALL)
+    low, high = (np.searchsorted(some, x[some]) for x in (low, high))
+    at, lag = np.arange(len(some)), 0
+    while len(at):
+        b = low[at] + lag
+        at, b = at[b < high[at]], b[b < high[at]]
+        x, y = n[some[at]], n[some[b]]
+        fits = alike(np.minimum(x, y), x, y) & (np.minimum(x, y) < SMALL)
+        if fits.any():
+            yield some[at[fits]], some[b[fits]]
+        lag += 1
 
 
 def _candidates(lags: int | None):
@@ -198,9 +207,22 @@ def _candidates(lags: int | None):
         def out(held: pa.Table):
             fp = held["fp"].to_numpy()
             prints = np.frombuffer(b"".join(held["sim"].to_pylist()), dtype="<u8").reshape(len(fp), -1)
+            found, size = [], 0
+
+            def once():
+                pairs = np.concatenate(found)
+                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+                pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
+                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
             for a, b in candidates(held["bucket"].to_numpy(), held["root"].to_numpy(), held["n"].to_numpy(), prints, lags):
-                once = np.unique(np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
+                found.append(np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])], axis=1))
+                size += len(a)
+                if size > PAIRS:
+                    yield once()
+                    found, size = [], 0
+            if size:
+                yield once()
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -266,7 +288,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         dealt = chunk_pairs(met, hot, bucket_rows).join(nodes.select("fp", "n", "sim"), "fp")
         root = F.col("fp") if linked is None else F.coalesce("root", "fp")
         dealt = dealt if linked is None else dealt.join(linked, F.col("fp") == F.col("node"), "left")
-        dealt = dealt.select("bucket", "fp", root.alias("root"), "n", "sim").repartition("bucket").sortWithinPartitions("bucket", "fp")
+        dealt = dealt.select("bucket", "fp", root.alias("root"), "n", "sim").repartition("bucket").sortWithinPartitions("bucket", "root", "fp")
         return written(dealt.mapInArrow(_candidates(lags), "u bigint, v bigint").distinct(), "pairs")
 
     pairs = near(shared.where(F.col("place") < FIRST_PLACES).select("fp", "bucket"), None, FIRST_LAGS)

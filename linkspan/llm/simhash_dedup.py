@@ -121,21 +121,7 @@ class Planes:
         for plane in range(0, self.bits, self.GROUP):
             if not len(at):
                 return at
-            x = [differing(p) for p in range(plane, min(plane + self.GROUP, self.bits))]
-            x += [np.zeros(len(at), dtype=np.uint64)] * (self.GROUP - len(x))
-            one, carry_a = _full_add(*x[:3])
-            two, carry_b = _full_add(*x[3:6])
-            ones, carry_c = _full_add(one, two, x[6])
-            number = (ones, *_full_add(carry_a, carry_b, carry_c))
-            carry = np.zeros(len(at), dtype=np.uint64)
-            for k in range(max(len(counters), 3)):
-                if k >= len(counters):
-                    live = live & ~number[k]  # more than a counter can hold is beyond the radius
-                elif k < 3:
-                    counters[k], carry = _full_add(counters[k], number[k], carry)
-                else:
-                    counters[k], carry = counters[k] ^ carry, counters[k] & carry
-            live = live & ~carry & ~_exceeds(counters, radius)
+            counters, live = _counted(counters, live, [differing(p) for p in range(plane, min(plane + self.GROUP, self.bits))], radius)
             stays = np.flatnonzero(live)
             if len(stays) < len(at):
                 at, live, counters = at[stays], live[stays], [c[stays] for c in counters]
@@ -143,6 +129,57 @@ class Planes:
         word, lane = np.nonzero(lanes)
         return at[word] * 64 + lane
 
+    #: Blocks (a row against 64 others) that are compared in one go.
+    BLOCKS = 1 << 16
+
+    def near(self, low: np.ndarray, high: np.ndarray, radius: int):
+        """Pairs (two arrays, again and again) of each row i with the rows low[i] to
+        high[i] - 1 that are within radius bits. A block is one row against a word of
+        each plane; it is abandoned once all of its rows exceed the radius."""
+        row_bits = np.ascontiguousarray(-np.unpackbits(self.planes.view(np.uint8), axis=1, bitorder="little")[:, : self.n].view(np.int8))
+        first = low // 64
+        width = np.where(high > low, (high - 1) // 64 - first + 1, 0)
+        after = np.cumsum(width)
+        for start in range(0, int(after[-1]) if len(after) else 0, self.BLOCKS):
+            block = np.arange(start, min(start + self.BLOCKS, int(after[-1])))
+            row = np.searchsorted(after, block, side="right")
+            word = first[row] + block - (after[row] - width[row])
+            ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+            live = ones << np.clip(low[row] - 64 * word, 0, 63).astype(np.uint64)
+            live &= ones >> np.clip(64 * word + 64 - high[row], 0, 63).astype(np.uint64)
+            counters = [np.zeros(len(row), dtype=np.uint64) for _ in range((radius + 1).bit_length())]
+            for plane in range(0, self.bits, self.GROUP):
+                differ = [self.planes[p][word] ^ row_bits[p][row].astype(np.int64).view(np.uint64) for p in range(plane, min(plane + self.GROUP, self.bits))]
+                counters, live = _counted(counters, live, differ, radius)
+                stays = np.flatnonzero(live)
+                if len(stays) < len(row):
+                    row, word, live, counters = row[stays], word[stays], live[stays], [c[stays] for c in counters]
+                if not len(row):
+                    break
+            lanes = np.unpackbits(np.ascontiguousarray(live).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            at, lane = np.nonzero(lanes)
+            if len(at):
+                yield row[at], word[at] * 64 + lane
+
+
+def _counted(counters: list[np.ndarray], live: np.ndarray, differ: list[np.ndarray], radius: int):
+    """Counters and live lanes after up to seven planes of differences: carry-save adders
+    make one number of three bits of them, which is added to the counters."""
+    x = differ + [np.zeros(len(live), dtype=np.uint64)] * (Planes.GROUP - len(differ))
+    one, carry_a = _full_add(*x[:3])
+    two, carry_b = _full_add(*x[3:6])
+    ones, carry_c = _full_add(one, two, x[6])
+    number = (ones, *_full_add(carry_a, carry_b, carry_c))
+    counters, carry = list(counters), np.zeros(len(live), dtype=np.uint64)
+    for k in range(max(len(counters), 3)):
+        if k >= len(counters):
+            live = live & ~number[k]  # more than a counter can hold is beyond the radius
+        elif k < 3:
+            counters[k], carry = _full_add(counters[k], number[k], carry)
+        else:
+            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+    return counters, live & ~carry & ~_exceeds(counters, radius)
+
 
 def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose vertical counter is larger than radius."""

@@ -85,15 +85,40 @@ def test_quality_on_held_out_rows(spark, tricky, empty):
 def test_scores_are_the_features_average(spark):
     weights = np.random.default_rng(1).normal(size=Q.BUCKETS)
     text = "one two two three"
-    found = [f for w in text.split() for f in Q.features(w)] + [Q.SAME]
+    words = text.split()
+    found = [f for w in words for f in Q.features(w)] + [int(Q.pairs(np.array([Q.word_hash(a), Q.word_hash(b)], dtype=np.uint32))[0]) for a, b in zip(words, words[1:])]
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     got = Q.score(docs, Q.Model(weights, 0.3)).first().score
     assert abs(got - 1 / (1 + np.exp(-(weights[found].mean() + 0.3)))) < 1e-9
 
 
+def test_a_step_follows_the_gradient():
+    draw = np.random.default_rng(3)
+    table, out, at, p = draw.normal(size=(9, 4)), draw.normal(size=(4, 2)), np.array([1, 4, 8]), np.array([0.5, 0.3, 0.2])
+
+    def loss(table, out):
+        score = sum(s * table[k] for s, k in zip(p, at)) @ out
+        return 0.7 * (np.log(np.exp(score).sum()) - score[1])
+
+    def slope(which, shape):
+        found = np.zeros(shape)
+        for k in np.ndindex(shape):
+            ends = []
+            for d in (1e-6, -1e-6):
+                both = [table.copy(), out.copy()]
+                both[which][k] += d
+                ends.append(loss(*both))
+            found[k] = (ends[0] - ends[1]) / 2e-6
+        return found
+
+    want = table - 0.4 * slope(0, table.shape), out - 0.1 * slope(1, out.shape)
+    Q.step(table, out, at, p, 1, 0.7, 0.4, 0.1)
+    assert np.allclose(table, want[0], atol=1e-7) and np.allclose(out, want[1], atol=1e-7)
+
+
 @pytest.fixture(scope="module")
 def scanner():
-    return S.Model()
+    return S.trained()
 
 
 def test_licences_in_running_text(scanner):
@@ -148,6 +173,22 @@ def test_shards_against_splitting(spark, spare):
     assert got == brute_shards(sizes, 700)
 
 
+def test_buckets_above_the_cells_span_and_hot_identifiers(spark, monkeypatch):
+    monkeypatch.setattr(H, "SPAN", 2)
+    monkeypatch.setattr(H, "PAGE_ROWS", 16)
+    sizes = [(i, 1 if i % 7 else 300) for i in range(200)]
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in sizes], "doc_id bigint, text string")
+    for limit, spare in ((700, 4), (3000, 9), (90, 1)):
+        assert {r.doc_id: r.shard for r in H.assign(docs, limit, spare_bits=spare).collect()} == brute_shards(sizes, limit)
+    hot = spark.createDataFrame([(None if i % 2 else i, "x" * (1 + i % 5)) for i in range(600)], "doc_id bigint, text string").repartition(5)
+    rows, pages = H.assign(hot, 50).collect(), {}
+    assert len(rows) == 600
+    for r in rows:
+        pages.setdefault((r.shard, r.page), []).append(r.n_bytes)
+    assert all(sum(p) <= 50 for p in pages.values())
+    assert sorted(r.page for r in rows if r.doc_id is None) == sorted(k // 10 for k in range(300))
+
+
 def test_shards_of_tricky_rows(spark, tricky, empty):
     rows = H.assign(tricky, 100).collect()
     assert len(rows) == tricky.count()
@@ -174,3 +215,56 @@ def test_wrapped_notices_and_short_forms(scanner):
         assert [(text[a : a + n], f) for a, n, f, _, _ in S.spans(text, scanner)] == [(notice, family)]
     text = f"Cats are kept here.\n{mit}. Dogs as well.\nAnd birds."
     assert [(text[a : a + n], f) for a, n, f, _, _ in S.spans(text, scanner)] == [(mit + ".", "MIT")]
+
+
+def test_logistic_score_against_plain_sums(scanner):
+    for words in ("licensed under the gnu lesser general public license today", "the general public may visit", "spdx license identifier mit"):
+        own = words.split()
+        ids = [scanner.vocabulary.get(w, 0) for w in own]
+        grams = [tuple(ids[i : i + n]) for n in (2, 3) for i in range(len(ids) - n + 1) if all(ids[i : i + n])]
+        score = [scanner.bias[c] + sum(scanner.weights[scanner.features[g]][c] for g in grams if g in scanner.features) for c in range(len(scanner.families))]
+        chance = [np.exp(s / scanner.temperature) for s in score]
+        want = max(range(len(chance)), key=chance.__getitem__)
+        family, got, _ = scanner.classify(own)
+        assert abs(got - chance[want] / sum(chance)) < 1e-9
+        assert family in (S.UNKNOWN, scanner.families[want])
+
+
+#: Headers as they stand in files; none of these strings is a template.
+HEADERS = (
+    ("GPL", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+    ("LGPL", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+    ("AGPL", "it under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version."),
+    ("AGPL", "Licensed under the GNU Affero General Public License, version 3."),
+    ("CC-BY-ND", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("Apache", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."),
+    ("EPL", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Boost", "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("GPL", "SPDX-License-Identifier: GPL-2.0-or-later"), ("MIT", "// SPDX-License-Identifier: MIT"), ("Apache", "# SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "Veröffentlicht unter der MIT-Lizenz."), ("MIT", "Publié sous licence MIT."), ("Apache", "Publicado bajo la licencia Apache, versión 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "This project is released under the MIT license by its authors."), ("GPL", "It is distributed under the terms of the GNU GPL, version 3."),
+    ("Proprietary", "Alle Rechte vorbehalten."), ("CC0", "To the extent possible under law, the author(s) have waived all copyright and related or neighboring rights to this work."),
+)
+
+
+def test_real_headers_have_no_wrong_family(scanner):
+    found = 0
+    for family, header in HEADERS:
+        got = {s[2] for s in S.spans(f"The cat is in the house.\n\n{header}\n\nAnd a dog.", scanner)}
+        assert got <= {family}, (family, got, header)
+        found += bool(got)
+    assert found >= len(HEADERS) - 2
+
+
+def test_marks_of_other_families_contradict(scanner):
+    words = "licensed under the gnu affero general public license".split()
+    assert scanner.confirmed("GPL", words) == 0 == scanner.confirmed("LGPL", words) and scanner.confirmed("AGPL", words) == 1
+    assert scanner.confirmed("CC-BY", "licensed under cc by nd 4 0".split()) == 0
+    for text in ("Licensed under CC BY-XX 4.0.", "Licensed under the Ministry of Health.", "The mit and the bsd license of the driver."):
+        assert S.spans(text, scanner) == [] or {s[2] for s in S.spans(text, scanner)} <= {"CC-BY", "BSD"}

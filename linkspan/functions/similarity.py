@@ -3,7 +3,9 @@
 R(a, b) = 2 * L(a, b) / (|a| + |b|), L being the length of the longest common
 subsequence of code points; 1 if both are empty. The other three are built on R.
 Spark has no such function, so they run as Arrow-batched UDFs with a bit-parallel
-L: one pass over a string with a whole row of the table in one integer.
+L: one pass over a string with a whole row of the table in one integer. `ratios`
+gives all six of a pair of records at once, each distinct pair of strings of a
+batch computed one time.
 """
 
 from __future__ import annotations
@@ -11,21 +13,30 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import words
 
 
-def lcs(a: str, b: str) -> int:
+def _masks(a: str) -> dict[str, int]:
+    """The places of each character of a, as bits."""
     masks: dict[str, int] = {}
     for k, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | 1 << k
-    full = (1 << len(a)) - 1
+    return masks
+
+
+def _common(masks: dict[str, int], n: int, b: str) -> int:
+    full = (1 << n) - 1
     row = full
     for ch in b:
         hit = row & masks.get(ch, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    return _common(_masks(a), len(a), b)
 
 
 def ratio(a: str, b: str) -> float:
@@ -44,11 +55,13 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def _windows(short: str, long: str) -> float:
-    m, n = len(short), len(long)
-    cuts = [(0, i) for i in range(1, m)] + [(i, i + m) for i in range(n - m + 1)] + [(i, n) for i in range(n - m + 1, n)]
+    m, n, masks = len(short), len(long), _masks(short)
+    cuts = [(i, i + m) for i in range(n - m + 1)] + [(0, i) for i in range(m - 1, 0, -1)] + [(i, n) for i in range(n - m + 1, n)]
     best = 0.0
     for i, j in cuts:
-        best = max(best, ratio(short, long[i:j]))
+        if 2 * (j - i) <= best * (m + j - i):
+            continue  # not even if all of the window is common
+        best = max(best, 2 * _common(masks, m, long[i:j]) / (m + j - i))
         if best == 1.0:
             break
     return best
@@ -86,6 +99,27 @@ ratio_of, partial_ratio_of = _column(ratio), _column(partial_ratio)
 token_sort_ratio_of, token_set_ratio_of = _column(token_sort_ratio), _column(token_set_ratio)
 
 
+NAME_RATIOS, ADDRESS_RATIOS = (ratio, partial_ratio, token_sort_ratio, token_set_ratio), (ratio, token_sort_ratio)
+
+
+RATIOS = ("name_ratio", "name_partial_ratio", "name_token_sort_ratio", "name_token_set_ratio", "addr_ratio", "addr_token_sort_ratio")
+
+
+@F.pandas_udf(StructType([StructField(name, DoubleType()) for name in RATIOS]))
+def ratios(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    """The four of two names and the two of two addresses, as a struct."""
+    names: dict[tuple[str, str], tuple[float, ...]] = {}
+    addresses: dict[tuple[str, str], tuple[float, ...]] = {}
+
+    def of(known, functions, pair):
+        if pair not in known:
+            known[pair] = tuple(f(*pair) for f in functions)
+        return known[pair]
+
+    rows = [of(names, NAME_RATIOS, n) + of(addresses, ADDRESS_RATIOS, s) for n, s in zip(zip(a, b), zip(x, y))]
+    return pd.DataFrame(rows, columns=list(RATIOS), dtype="float64")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of the sets of lower-cased words: both empty 1, one empty or null 0."""
     x, y = F.array_distinct(words(F.lower(a))), F.array_distinct(words(F.lower(b)))

@@ -52,10 +52,6 @@ def format_ids(ids: Column) -> Column:
     return F.array_join(ids, ",")
 
 
-def header_names(line: Column) -> Column:
-    return F.transform(F.split(F.rtrim(line), "\t"), lambda x: F.lower(F.trim(x)))
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(text, "\\s+"), lambda x: x != "")
 

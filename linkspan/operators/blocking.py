@@ -11,7 +11,8 @@ and part, a block is never gathered, and the result is exact. Built-in operators
 can't keep such an array, hence Arrow and numpy.
 
 The vocabulary is at most `max_terms` rows, a fixed bound, so it may be broadcast.
-An identifier is unique in its source; one that is in two blocks counts as two
+`generate_candidates` takes the last of rows that repeat an identifier and leaves
+rows without one out; elsewhere an identifier that is in two blocks counts as two
 entities.
 """
 
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspan.functions import text as T
-from linkspan.sources.shared import written
+from linkspan.operators.keys import keyed
+from linkspan.sources.shared import ship, written
 
 CONTENT = ("business_name", "business_address", "country")
 
@@ -133,6 +135,7 @@ def best_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, k:
 
     left and right are vectors, of about n_left and n_right entities; left_rows and
     right_rows are the sizes of the parts and don't change the result."""
+    ship(left.sparkSession)
     parts = {"l": max(1, -(-n_left // left_rows)), "r": max(1, -(-n_right // right_rows))}
 
     def dealt(df, own, other):
@@ -159,9 +162,9 @@ def with_blocks(source1: DataFrame, candidates: DataFrame) -> tuple[DataFrame, D
 
 def generate_candidates(source1: DataFrame, source2: DataFrame, source3: DataFrame, k: int = 15, threshold: float = 0.10) -> DataFrame:
     """s1_id, cand_id, score, rank."""
-    both = processed(source2).unionByName(processed(source3))
+    both = keyed(processed(source2), processed(source3), key="id")
     words = written(numbered(vocabulary(fit_sample(both))), "vocabulary")
-    left, right = with_blocks(processed(source1), both)
+    left, right = with_blocks(keyed(processed(source1), key="id"), both)
     return best_pairs(vectors(left, words), vectors(right, words), left.count(), right.count(), k, threshold)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from linkspan.functions import text as T
 from linkspan.functions.metrics import entity_score, f_beta
 from linkspan.operators import blocking, matching
+from linkspan.operators.keys import keyed
+from linkspan.sources.shared import written
 
 
 def split_truth(truth: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -26,10 +28,12 @@ def split_truth(truth: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> tup
 
 
 def entity_scores(predicted: DataFrame, truth: DataFrame, beta: float = 0.5) -> DataFrame:
-    """s1_id, f05 of every entity of truth; predicted and truth are list tables."""
+    """s1_id, f05 of every entity of truth; predicted and truth are list tables. Of rows
+    that repeat an entity the last one counts; rows without one go."""
     def sets(df, name):
         key, ids = df.columns[:2]
-        return df.select(F.col(key).alias("s1_id"), F.array_distinct(T.parse_ids(F.col(ids))).alias(name))
+        last = keyed(df.select(key, ids), key=key)
+        return last.select(F.col(key).alias("s1_id"), F.array_distinct(T.parse_ids(F.col(ids))).alias(name))
 
     none = F.array().cast("array<string>")
     rows = sets(truth, "truth").join(sets(predicted, "predicted"), "s1_id", "left")
@@ -52,22 +56,31 @@ def f_beta_grid(spark, points: list[tuple[float, float]]) -> DataFrame:
 
 
 def threshold_sweep(scores: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
-    """macro F0.5 for each threshold of a short list."""
-    out = None
-    for t in thresholds:
-        lists = matching.match_lists(truth.select(F.col("source1_entity_id").alias("entity_id")), matching.matched(scores, t))
-        one = macro(entity_scores(lists, truth)).select(F.lit(float(t)).alias("threshold"), "macro_f05")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """threshold, macro_f05 for each threshold of a short list, in one pass over the scores:
+    a pair counts for every threshold that it reaches."""
+    spark = truth.sparkSession
+    cuts = F.array(*(F.lit(float(t)) for t in thresholds))
+    key, ids = truth.columns[:2]
+    known = keyed(truth.select(key, ids), key=key).select(F.col(key).alias("s1_id"), F.array_distinct(T.parse_ids(F.col(ids))).alias("truth"))
+    best = scores.groupBy("s1_id", "cand_id").agg(F.max("score").alias("score"))
+    reached = best.join(known, "s1_id").select("s1_id", F.array_contains("truth", F.col("cand_id")).cast("int").alias("hit"), F.explode(F.filter(cuts, lambda t: t <= F.col("score"))).alias("threshold"))
+    found = reached.groupBy("s1_id", "threshold").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    grid = known.select("s1_id", F.size("truth").alias("size"), F.explode(cuts).alias("threshold"))
+    rows = grid.join(found, ["s1_id", "threshold"], "left").na.fill(0, ["n", "hits"])
+    f = f_beta(F.col("hits") / F.greatest(F.col("n"), F.lit(1)), F.col("hits") / F.greatest(F.col("size"), F.lit(1)))
+    f05 = F.when((F.col("size") == 0) & (F.col("n") == 0), 1.0).when((F.col("size") == 0) | (F.col("n") == 0), 0.0).otherwise(f)
+    means = rows.groupBy("threshold").agg(F.avg(f05).alias("macro_f05"))
+    every = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    return every.join(means, "threshold", "left").select("threshold", F.coalesce("macro_f05", F.lit(0.0)).alias("macro_f05"))
 
 
 def run_evaluation(source1, source2, source3, truth, val_ratio=0.2, threshold=0.5, neg_ratio=5, seed=42, **trees):
     """(macro, scores by entity): trained on one part of truth, measured on the other."""
-    candidates = source2.unionByName(source3)
+    candidates = keyed(source2, source3)
     train, held = split_truth(truth, val_ratio, seed)
     positives = matching.positive_pairs(train, candidates)
     pairs = matching.training_pairs(positives, matching.negative_pairs(positives, candidates, neg_ratio, seed))
-    model = matching.fit(matching.pair_features(pairs, source1, candidates).cache(), **trees)
+    model = matching.fit(written(matching.pair_features(pairs, source1, candidates), "features"), **trees)  # every tree reads them
     val = source1.join(held.select(F.col("source1_entity_id").alias("entity_id")), "entity_id", "left_semi")
     found = blocking.generate_candidates(val, source2, source3)
     scored = matching.score(matching.pair_features(found.select("s1_id", "cand_id"), val, candidates), model)

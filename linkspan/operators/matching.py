@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from linkspan.functions import similarity as S
 from linkspan.functions import text as T
+from linkspan.operators.keys import keyed
+from linkspan.sources.shared import ship, written
 
 FEATURES = (
     "name_ratio", "name_partial_ratio", "name_token_sort_ratio", "name_token_set_ratio",
@@ -32,28 +34,45 @@ def positive_pairs(truth: DataFrame, candidates: DataFrame) -> DataFrame:
 def negative_pairs(positives: DataFrame, candidates: DataFrame, ratio: int = 5, seed: int = 42, blocked: DataFrame | None = None) -> DataFrame:
     """Up to `ratio` pairs for each positive that aren't positive and don't repeat.
 
-    Uniform draws over all candidates (20 * ratio tries for each positive are never
-    needed: draws that hit are dropped, so twice as many are made), or, where
+    Uniform draws over all candidates: twice as many as are wanted and a few, and for
+    entities that these leave short, up to 20 tries for each wanted pair. Or, where
     `blocked` has (s1_id, cand_id, rank), the best-ranked wrong candidates."""
     wanted = positives.groupBy("s1_id").agg((F.count("*") * ratio).alias("wanted"))
+
+    def fresh(pool):
+        out = pool.join(positives.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti")
+        return out.groupBy("s1_id", "cand_id", "wanted").agg(F.min("rank").alias("rank"))
+
+    def chosen(once):
+        order = F.row_number().over(Window.partitionBy("s1_id").orderBy("rank", "cand_id"))
+        return once.withColumn("n", order).where(F.col("n") <= F.col("wanted")).select("s1_id", "cand_id")
+
     if blocked is None:
+        candidates = candidates.select("entity_id").where("entity_id IS NOT NULL").distinct()
         n = candidates.count()
         spot = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         buckets = max(1, n // 100_000)
-        keyed = candidates.select(F.col("entity_id").alias("cand_id"), F.pmod(F.xxhash64("entity_id"), F.lit(buckets)).alias("bucket"))
-        sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"))
+        dealt = candidates.select(F.col("entity_id").alias("cand_id"), F.pmod(F.xxhash64("entity_id"), F.lit(buckets)).alias("bucket"))
+        sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size"))
         starts = sizes.select("bucket", F.coalesce(F.sum("size").over(spot), F.lit(0)).alias("start"))
         inside = F.row_number().over(Window.partitionBy("bucket").orderBy("cand_id")) - 1
-        numbered = keyed.withColumn("at", inside).join(starts, "bucket").select("cand_id", (F.col("start") + F.col("at")).alias("spot"))
-        tries = wanted.select("s1_id", "wanted", F.explode(F.sequence(F.lit(0), 2 * F.col("wanted") + 8)).alias("try"))
-        drawn = tries.withColumn("spot", F.pmod(F.xxhash64("s1_id", "try", F.lit(seed)), F.lit(max(1, n))))
-        pool = drawn.join(numbered, "spot").select("s1_id", "cand_id", "wanted", F.col("try").alias("rank"))
-    else:
-        pool = blocked.select("s1_id", "cand_id", "rank").join(wanted, "s1_id")
-    fresh = pool.join(positives.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti")
-    once = fresh.groupBy("s1_id", "cand_id", "wanted").agg(F.min("rank").alias("rank"))
-    order = F.row_number().over(Window.partitionBy("s1_id").orderBy("rank", "cand_id"))
-    return once.withColumn("n", order).where(F.col("n") <= F.col("wanted")).select("s1_id", "cand_id")
+        numbered = dealt.withColumn("at", inside).join(starts, "bucket").select("cand_id", (F.col("start") + F.col("at")).alias("spot"))
+
+        def drawn(whose, first, last):
+            tries = whose.select("s1_id", "wanted", F.explode(F.sequence(first, last)).alias("try"))
+            spots = tries.withColumn("spot", F.pmod(F.xxhash64("s1_id", "try", F.lit(seed)), F.lit(max(1, n))))
+            return spots.join(numbered, "spot").select("s1_id", "cand_id", "wanted", F.col("try").alias("rank"))
+
+        few = 2 * F.col("wanted") + 8
+        found = written(fresh(drawn(wanted, F.lit(0).cast("bigint"), few)), "drawn")
+        enough = found.groupBy("s1_id").agg(F.count("*").alias("have")).join(wanted, "s1_id").where("have >= wanted").select("s1_id")
+        short = written(wanted.join(enough, "s1_id", "left_anti"), "short")
+        if short.isEmpty():
+            return chosen(found)
+        more = fresh(drawn(short, few + 1, F.greatest(few + 1, 20 * F.col("wanted"))))
+        both = found.unionByName(more).groupBy("s1_id", "cand_id", "wanted").agg(F.min("rank").alias("rank"))
+        return chosen(both)
+    return chosen(fresh(blocked.select("s1_id", "cand_id", "rank").join(wanted, "s1_id")))
 
 
 def training_pairs(positives: DataFrame, negatives: DataFrame) -> DataFrame:
@@ -63,24 +82,21 @@ def training_pairs(positives: DataFrame, negatives: DataFrame) -> DataFrame:
 def pair_features(pairs: DataFrame, source1: DataFrame, candidates: DataFrame, parity_nan: bool = False, how: str = "inner") -> DataFrame:
     """pairs with the seven features. A pair's first record may be missing (all fields
     blank); pairs whose candidate is missing go, or stay blank with how='left'.
-    parity_nan: a missing field becomes the text nan instead of blank."""
+    parity_nan: a missing field becomes the text nan instead of blank. Of records that
+    repeat an identifier the last one counts, so a pair has one row of features."""
     blank = F.lit("nan" if parity_nan else "")
+    ship(pairs.sparkSession)
 
     def side(frame, key, mark):
-        return frame.select(F.col("entity_id").alias(key), *(F.coalesce(F.nullif(F.col(c), F.lit("")), blank).alias(mark + c) for c in _FIELDS))
+        return keyed(frame.select("entity_id", *_FIELDS)).select(F.col("entity_id").alias(key), *(F.coalesce(F.nullif(F.col(c), F.lit("")), blank).alias(mark + c) for c in _FIELDS))
 
     both = pairs.join(side(source1, "s1_id", "a_"), "s1_id", "left").join(side(candidates, "cand_id", "b_"), "cand_id", how)
     both = both.na.fill("", [m + c for m in ("a_", "b_") for c in _FIELDS])
     a, b = F.col("a_business_name"), F.col("b_business_name")
     x, y = F.col("a_business_address"), F.col("b_business_address")
     same = (F.lower("a_country") == F.lower("b_country")) & (F.col("a_country") != "")
-    return both.select(
-        *pairs.columns,
-        S.ratio_of(a, b).alias("name_ratio"), S.partial_ratio_of(a, b).alias("name_partial_ratio"),
-        S.token_sort_ratio_of(a, b).alias("name_token_sort_ratio"), S.token_set_ratio_of(a, b).alias("name_token_set_ratio"),
-        S.ratio_of(x, y).alias("addr_ratio"), S.token_sort_ratio_of(x, y).alias("addr_token_sort_ratio"),
-        F.when(same, 1.0).otherwise(0.0).alias("country_exact_match"),
-    )
+    scored = both.withColumn("_ratios", S.ratios(a, b, x, y))
+    return scored.select(*pairs.columns, *(F.col(f"_ratios.{f}") for f in FEATURES[:-1]), F.when(same, 1.0).otherwise(0.0).alias("country_exact_match"))
 
 
 def class_weight(pairs: DataFrame) -> DataFrame:

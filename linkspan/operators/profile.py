@@ -9,6 +9,12 @@ from linkspan.functions import text as T
 from linkspan.functions.similarity import jaccard
 
 
+def sample_truth(truth: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
+    """At most n rows of truth, by a hash of the entity: the same ones in every run."""
+    key = truth.columns[0]
+    return truth.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
 def missing_pct(df: DataFrame) -> DataFrame:
     """column_name, pct (two digits), warn (over 5 %), by one pass over the table."""
     sums = df.agg(F.count("*").alias("_n"), *(F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in df.columns))

@@ -6,7 +6,7 @@ offenders in order. Rules keep the numbers V01 to V18 of the survey.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspan.functions import text as T
@@ -55,20 +55,37 @@ def not_in(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
 
 
 def list_findings(rows: DataFrame, required: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """V05 to V12 on parsed rows; targets (one column) turns V10 on."""
-    good, ids = rows.where("has_tab"), listed(rows.where("has_tab")).withColumn("class", id_class(F.col("id")))
-    out = finding("V05", "error", rows.where(~F.col("has_tab")).select("line_no"))
-    found = [
-        ("V06", duplicate_rows(good)), ("V07", repeated_in_list(good)),
-        ("V08", ids.where("class = 'self'").select("id")), ("V09", ids.where("class = 'wrong'").select("id")),
-        ("V11", not_in(required.select(F.col(required.columns[0]).alias("s1_id")), good.select("s1_id"), "s1_id")),
-        ("V12", not_in(good.select("s1_id"), required, "s1_id")),
+    """V05 to V12 on parsed rows; targets (one column) turns V10 on.
+
+    One pass: every row, required entity and target becomes (space, value, what); the
+    counts of what meets at a value tell its offences, and these are grouped by rule."""
+    def fact(space, value, what):
+        return F.struct(F.lit(space).alias("space"), value.cast("string").alias("value"), F.lit(what).alias("what"))
+
+    own = F.col("s1_id")
+    lists = F.transform("ids", lambda i: F.struct(F.lit("id").alias("space"), i.alias("value"), id_class(i).alias("what")))
+    repeats = F.when(F.size("ids") != F.size(F.array_distinct("ids")), F.array(fact("s1", own, "repeats"))).otherwise(F.array().cast("array<struct<space:string,value:string,what:string>>"))
+    good = F.concat(F.array(fact("s1", own, "row")), repeats, lists)
+    facts = rows.select(F.explode(F.when(F.col("has_tab"), good).otherwise(F.array(fact("line", F.col("line_no"), "no tab")))).alias("f")).select("f.*")
+    facts = facts.unionByName(required.select(F.explode(F.array(fact("s1", F.col(required.columns[0]), "required"))).alias("f")).select("f.*"))
+    if targets is not None:
+        facts = facts.unionByName(targets.select(F.explode(F.array(fact("id", F.col(targets.columns[0]), "known"))).alias("f")).select("f.*"))
+    kinds = ("no tab", "row", "repeats", "self", "wrong", "target", "required", "known")
+    met = facts.where("value IS NOT NULL").groupBy("space", "value").agg(*(F.count(F.when(F.col("what") == k, 1)).alias(k) for k in kinds))
+    has = lambda k: F.col(k) > 0
+    rules = [
+        ("V05", has("no tab")), ("V06", F.col("row") > 1), ("V07", has("repeats")), ("V08", has("self")), ("V09", has("wrong")),
+        ("V11", has("required") & ~has("row")), ("V12", has("row") & ~has("required")),
     ]
     if targets is not None:
-        found.append(("V10", not_in(ids.where("class = 'target'").select("id"), targets, "id")))
-    for rule, offenders in found:
-        out = out.unionByName(finding(rule, "error", offenders))
-    return out
+        rules.append(("V10", has("target") & ~has("known")))
+    broken = F.filter(F.array(*(F.when(test, F.lit(rule)) for rule, test in rules)), lambda r: r.isNotNull())
+    offenders = met.select(F.explode(broken).alias("rule"), "value")
+    counted = offenders.groupBy("rule").agg(F.count("*").alias("n_offenders"))
+    place = F.row_number().over(Window.partitionBy("rule").orderBy("value"))
+    shown = offenders.withColumn("place", place).where(F.col("place") <= SHOWN).groupBy("rule")
+    shown = shown.agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("examples"))
+    return counted.join(shown, "rule").select("rule", F.lit("error").alias("severity"), "n_offenders", "examples")
 
 
 def outside(matches: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -91,10 +108,10 @@ def check_file(spark: SparkSession, path: str, header: list[str], required: Data
     if not tables.exists(spark, path):
         return _one(spark, "V01", "error", path), None
     lines = tables.read_lines(spark, path)
-    first = lines.where("line_no = 1").first()
+    first = lines.where("line_no = 1").select(F.make_valid_utf8("value").alias("value")).first()
     if first is None or not first.value.strip():
         return _one(spark, "V02", "error", path), None
-    if lines.where(F.col("value").contains("�")).limit(1).count():
+    if not lines.where(~F.is_valid_utf8("value")).isEmpty():
         return _one(spark, "V18", "error", path), None
     if "\t" not in first.value and "," in first.value:
         return _one(spark, "V03", "error", first.value), None

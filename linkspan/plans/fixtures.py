@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkspan.sources.shared import ship
+
 FIRST = "golden,silver,northern,southern,eastern,western,prime,royal,urban,coastal,summit,valley,river,harbor,maple,cedar,lotus"
 SECOND = "retail,foods,textiles,motors,logistics,pharma,studio,dental,marketing,properties,builders,travels,seafood,learning,barber,consultants,energy,optics,steel"
 THIRD = "house,group,partners,works,center,traders,labs,systems,enterprise,associates,services,gallery,depot"
@@ -59,6 +61,7 @@ FROM customer"""),
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The derived tables by name, with er_truth (a list table of all of source 1)."""
+    ship(spark)
     found: dict[str, DataFrame] = {"customer": spark.read.parquet(f"{sf_dir}/customer.parquet")}
     for name, sql in VIEWS:
         used = {k: v for k, v in found.items() if k in sql}

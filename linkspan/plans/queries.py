@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ from linkspan.operators import evaluation as E
 from linkspan.operators import matching as M
 from linkspan.operators import profile as P
 from linkspan.operators import validation as V
+from linkspan.operators.keys import first_rows, keyed
 from linkspan.plans import fixtures
+from linkspan.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +30,8 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(fixtures.tables(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = fixtures.CTES + ",\n" + sql if sql.lstrip().startswith(("cand AS", "x AS")) else fixtures.CTES + "\n" + sql
+            more = re.match(r"\s*\w+ AS \(", sql)  # more tables to name, or the query itself
+            ORACLES[f.__name__] = fixtures.CTES + (",\n" if more else "\n") + sql
         return f
 
     return keep
@@ -248,22 +252,69 @@ def _true_pairs(t):
     return t["er_pairs"].join(a, "s1_id").join(b, "cand_id")
 
 
-@query()
+def _lcs(a, b):
+    """The longest common subsequence of two columns of up to 120 characters: a's characters
+    are bits of one integer, which every character of b advances by one step."""
+    places = f"list_transform(range(1, length({b}) + 1), lambda j: coalesce(list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = substr({b}, j, 1) THEN 1::HUGEINT << (i - 1)::HUGEINT ELSE 0::HUGEINT END)), 0::HUGEINT)::HUGEINT)"
+    full = f"((1::HUGEINT << length({a})::HUGEINT) - 1)"
+    step = f"lambda r, h: (((r + (r & h)) | (r - (r & h))) & {full})"
+    return f"(length({a}) - bit_count(list_reduce({places}, {step}, {full})))"
+
+
+def _ratio(a, b):
+    return f"(CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE 2.0 * {_lcs(a, b)} / (length({a}) + length({b})) END)::DOUBLE"
+
+
+def _words(c):
+    return f"list_filter(string_split({c}, ' '), lambda v: v <> '')"
+
+
+def _sorted(words):
+    return f"array_to_string(list_sort({words}), ' ')"
+
+
+def _ratio_ctes(source, mark, a, b):
+    """CTEs with ratio, partial, token sort and token set of the columns a, b of a CTE by s1_id, cand_id."""
+    return f"""{mark}0 AS (SELECT s1_id, cand_id, {a} AS a, {b} AS b, {_sorted(_words(a))} AS sa, {_sorted(_words(b))} AS sb, list_distinct({_words(a)}) AS ta, list_distinct({_words(b)}) AS tb FROM {source}),
+{mark}1 AS (SELECT s1_id, cand_id, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM {mark}0
+  UNION ALL SELECT s1_id, cand_id, b, a FROM {mark}0 WHERE length(a) = length(b)),
+{mark}2 AS (SELECT s1_id, cand_id, s, substr(l, i, n) AS w FROM (SELECT *, unnest(list_concat(list_concat(
+    list_transform(range(1, length(s)), lambda i: {{'i': 1, 'n': i}}), list_transform(range(1, length(l) - length(s) + 2), lambda i: {{'i': i, 'n': length(s)}})),
+    list_transform(range(length(l) - length(s) + 2, length(l) + 1), lambda i: {{'i': i, 'n': length(l)}})), recursive := true) FROM {mark}1 WHERE length(s) > 0)),
+{mark}3 AS (SELECT s1_id, cand_id, max({_ratio("s", "w")}) AS partial FROM (SELECT DISTINCT * FROM {mark}2) GROUP BY ALL),
+{mark}4 AS (SELECT s1_id, cand_id, {_sorted("list_filter(ta, lambda v: NOT list_contains(tb, v))")} AS x, {_sorted("list_filter(tb, lambda v: NOT list_contains(ta, v))")} AS y,
+  {_sorted("list_intersect(ta, tb)")} AS common, len(ta) = 0 OR len(tb) = 0 AS none FROM {mark}0),
+{mark}5 AS (SELECT *, length(common) + (common <> '')::INT + length(x) AS p, length(common) + (common <> '')::INT + length(y) AS q, {_lcs("x", "y")} AS xy FROM {mark}4),
+{mark} AS (SELECT s1_id, cand_id, {_ratio("a", "b")} AS ratio, coalesce(partial, (a = '' AND b = '')::INT)::DOUBLE AS partial, {_ratio("sa", "sb")} AS token_sort,
+  (CASE WHEN none THEN 0.0 WHEN common <> '' AND (x = '' OR y = '') THEN 1.0
+    WHEN common = '' THEN 1 - (length(x) + length(y) - 2 * xy) / (p + q)::DOUBLE
+    ELSE greatest(1 - (length(x) + length(y) - 2 * xy) / (p + q)::DOUBLE, 1 - (1 + length(x)) / (length(common) + p)::DOUBLE, 1 - (1 + length(y)) / (length(common) + q)::DOUBLE) END)::DOUBLE AS token_set
+  FROM {mark}0 JOIN {mark}5 USING (s1_id, cand_id) LEFT JOIN {mark}3 USING (s1_id, cand_id))"""
+
+
+_RATIOS = _CAND + """,
+tp AS (SELECT s1_id, cand_id, s.business_name AS a, c.business_name AS b, coalesce(s.business_address, '') AS x, coalesce(c.business_address, '') AS y,
+  CASE WHEN lower(s.country) = lower(c.country) AND s.country <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS same
+  FROM er_pairs JOIN er_source1 s ON s.entity_id = s1_id JOIN cand c ON c.entity_id = cand_id),
+""" + _ratio_ctes("tp", "nm", "a", "b")
+
+
+@query(_RATIOS + "\nSELECT s1_id, cand_id, round(ratio, 6) AS name_ratio FROM nm")
 def feat_ratio(t):
     return _true_pairs(t).select("s1_id", "cand_id", F.round(S.ratio_of("a", "b"), 6).alias("name_ratio"))
 
 
-@query()
+@query(_RATIOS + "\nSELECT s1_id, cand_id, round(partial, 6) AS name_partial_ratio FROM nm")
 def feat_partial(t):
     return _true_pairs(t).select("s1_id", "cand_id", F.round(S.partial_ratio_of("a", "b"), 6).alias("name_partial_ratio"))
 
 
-@query()
+@query(_RATIOS + "\nSELECT s1_id, cand_id, round(token_sort, 6) AS name_token_sort_ratio FROM nm")
 def feat_token_sort(t):
     return _true_pairs(t).select("s1_id", "cand_id", F.round(S.token_sort_ratio_of("a", "b"), 6).alias("name_token_sort_ratio"))
 
 
-@query()
+@query(_RATIOS + "\nSELECT s1_id, cand_id, round(token_set, 6) AS name_token_set_ratio FROM nm")
 def feat_token_set(t):
     return _true_pairs(t).select("s1_id", "cand_id", F.round(S.token_set_ratio_of("a", "b"), 6).alias("name_token_set_ratio"))
 
@@ -285,9 +336,81 @@ def feat_jaccard(t):
     return _true_pairs(t).select("s1_id", "cand_id", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query()
+def _rounded(features):
+    return features.select("s1_id", "cand_id", *(F.round(f, 6).alias(f) for f in M.FEATURES))
+
+
+_FEATURES = _RATIOS + ",\n" + _ratio_ctes("tp", "ad", "x", "y")
+
+
+@query(_FEATURES + """
+SELECT s1_id, cand_id, round(nm.ratio, 6) AS name_ratio, round(nm.partial, 6) AS name_partial_ratio, round(nm.token_sort, 6) AS name_token_sort_ratio, round(nm.token_set, 6) AS name_token_set_ratio,
+  round(ad.ratio, 6) AS addr_ratio, round(ad.token_sort, 6) AS addr_token_sort_ratio, same AS country_exact_match FROM nm JOIN ad USING (s1_id, cand_id) JOIN tp USING (s1_id, cand_id)""")
 def pair_features(t):
-    return M.pair_features(t["er_pairs"], t["er_source1"], _both(t))
+    return _rounded(M.pair_features(t["er_pairs"], t["er_source1"], _both(t)))
+
+
+@query(_RATIOS.replace("JOIN er_source1 s ON s.entity_id = s1_id JOIN cand c", "LEFT JOIN er_source1 s ON s.entity_id = s1_id LEFT JOIN er_source2 c").replace("s.business_name AS a, c.business_name AS b", "coalesce(s.business_name, '') AS a, coalesce(c.business_name, '') AS b") + """
+SELECT s1_id, cand_id, round(ratio, 6) AS name_ratio, round(partial, 6) AS name_partial_ratio, round(token_set, 6) AS name_token_set_ratio, coalesce(same, 0) AS country_exact_match FROM nm JOIN tp USING (s1_id, cand_id)""")
+def feat_left_lookup(t):
+    """Candidates of source 3 are missing from the lookup: their fields are blank."""
+    found = _rounded(M.pair_features(t["er_pairs"], t["er_source1"], t["er_source2"], how="left"))
+    return found.select("s1_id", "cand_id", "name_ratio", "name_partial_ratio", "name_token_set_ratio", "country_exact_match")
+
+
+_CLASH = """o AS (SELECT entity_id, 'later ' || business_name AS business_name, business_address, country FROM er_source2 WHERE entity_id LIKE '%1'
+  UNION ALL SELECT * FROM er_source3)"""
+
+
+@query(_CLASH + "\nSELECT * FROM o UNION ALL SELECT * FROM er_source2 WHERE entity_id NOT IN (SELECT entity_id FROM o)")
+def keyed_merge(t):
+    """Source 2 with rows that a later table has again: the later one wins."""
+    later = t["er_source2"].where("entity_id LIKE '%1'").withColumn("business_name", F.concat(F.lit("later "), "business_name"))
+    return keyed(t["er_source2"], later.unionByName(t["er_source3"]))
+
+
+@query("""x AS (SELECT source1_entity_id AS s1_id, CASE WHEN source1_entity_id LIKE '%3' THEN 'S2-0' ELSE matched_entity_ids END AS m, matched_entity_ids AS p FROM er_truth)
+SELECT s1_id, (CASE WHEN m = p THEN 1.0 ELSE 0.0 END)::DOUBLE AS f05 FROM x""")
+def truth_last_wins(t):
+    """Truth rows that are repeated with another list: the last one counts."""
+    again = t["er_truth"].where("source1_entity_id LIKE '%3'").withColumn("matched_entity_ids", F.lit("S2-0"))
+    return E.entity_scores(t["er_truth"], t["er_truth"].unionByName(again))
+
+
+@query("SELECT entity_id AS source1_entity_id, '' AS matched_entity_ids FROM er_source1")
+def empty_matches(t):
+    """Without a pair every entity still has its row."""
+    none = t["er_pairs"].limit(0).withColumn("score", F.lit(0.9))
+    return M.match_lists(t["er_source1"], M.matched(none))
+
+
+@query("SELECT least(1000, count(*)) AS n_rows, least(1000, count(*)) AS n_known, true AS same FROM (SELECT * FROM er_source2 UNION ALL SELECT * FROM er_source3)")
+def fit_sample_sizes(t):
+    """The fit sample is bounded, a subset, and the same in every run."""
+    both = _rows(t)[1]
+    one, two = B.fit_sample(both, 1000), B.fit_sample(both.repartition(7), 1000)
+    known = one.join(both.select("id"), "id", "left_semi").agg(F.count("*").alias("n_known"))
+    different = one.select("id").exceptAll(two.select("id")).agg((F.count("*") == 0).alias("same"))
+    return one.agg(F.count("*").alias("n_rows")).crossJoin(known).crossJoin(different)  # one row each
+
+
+@query("SELECT least(500, count(*)) AS n_rows, least(500, count(*)) AS n_known FROM er_truth")
+def truth_sample_size(t):
+    some = P.sample_truth(t["er_truth"], 500)
+    known = some.join(t["er_truth"].select("source1_entity_id"), "source1_entity_id", "left_semi").agg(F.count("*").alias("n_known"))
+    return some.agg(F.count("*").alias("n_rows")).crossJoin(known)
+
+
+_ALL = _TOP.replace("upper(trim(coalesce(country, ''))) AS block", "'ALL' AS block").replace("coalesce(business_address, '') || ' ' || coalesce(country, '')", "coalesce(business_address, '') || ' '")
+
+
+@query(_ALL + "\nSELECT s1_id, cand_id, score, rank FROM top")
+def blk_all_block(t):
+    """No row of source 1 has a country: all entities are in one block."""
+    blank = [t[n].withColumn("country", F.lit(None).cast("string")) for n in ("er_source1", "er_source2", "er_source3")]
+    return B.generate_candidates(*blank)
+
+
 
 
 _LISTS = _TOP + """,
@@ -390,10 +513,7 @@ def class_weight(t):
 
 @query("SELECT s1_id, min(cand_id) AS cand_id FROM er_pairs GROUP BY 1")
 def first_row_per_s1(t):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("s1_id").orderBy("cand_id")
-    return t["er_pairs"].withColumn("n", F.row_number().over(order)).where("n = 1").select("s1_id", "cand_id")
+    return first_rows(t["er_pairs"], "s1_id", "cand_id").select("s1_id", "cand_id")
 
 
 @query("SELECT * FROM er_source1 ORDER BY entity_id LIMIT 3")
@@ -423,9 +543,25 @@ def threshold_sweep(t):
     return found.select("threshold", F.round("macro_f05", 6).alias("macro_f05"))
 
 
+_CUTS = (0.2, 0.3, 0.5, 0.7)
+
+
+@query(_TOP + f""",
+c AS (SELECT unnest({list(_CUTS)}::DOUBLE[]) AS threshold),
+g AS (SELECT source1_entity_id AS s1_id, threshold, len(list_filter(string_split(matched_entity_ids, ','), lambda v: v <> '')) AS size FROM er_truth, c),
+p AS (SELECT s1_id, threshold, count(*) AS n, count(q.cand_id) AS hits FROM c JOIN top ON score >= threshold LEFT JOIN er_pairs q USING (s1_id, cand_id) GROUP BY ALL),
+r AS (SELECT *, coalesce(n, 0) AS np, coalesce(hits, 0) AS h FROM g LEFT JOIN p USING (s1_id, threshold)),
+s AS (SELECT threshold, CASE WHEN size = 0 AND np = 0 THEN 1.0 WHEN size = 0 OR np = 0 OR h = 0 THEN 0.0 ELSE 1.25 * (h / np) * (h / size) / (0.25 * (h / np) + h / size) END::DOUBLE AS f05 FROM r)
+SELECT threshold, round(avg(f05), 6) AS macro_f05 FROM s GROUP BY 1""")
+def threshold_curve(t):
+    """macro F0.5 over several thresholds in one pass."""
+    found = E.threshold_sweep(blk_topk(t), t["er_truth"], list(_CUTS))
+    return found.select("threshold", F.round("macro_f05", 6).alias("macro_f05"))
+
+
 @query()
 def gbt_scores(t):
-    features = M.pair_features(_pairs(t), t["er_source1"], _both(t)).cache()
+    features = written(M.pair_features(_pairs(t), t["er_source1"], _both(t)), "features")
     return M.score(features, M.fit(features))
 
 

@@ -7,14 +7,18 @@ paths; a step that fails raises, so nothing runs after it.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspan.operators import blocking, matching, profile, validation
 from linkspan.operators.evaluation import f_beta_grid
+from linkspan.operators.keys import keyed
 from linkspan.sources import tables
 from linkspan.sources.shared import written
 
+log = logging.getLogger("linkspan")
 MODES = ("all", "train-only", "predict-only")
 CANDIDATES, MATCHES, MODEL = "candidates", "matches", "model"
 _EMPTY = {"business_name": "string", "business_address": "string", "country": "string"}
@@ -31,18 +35,22 @@ def sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def make_candidates(spark: SparkSession, folder: str, out: str, k: int = 15, threshold: float = 0.10) -> None:
+    log.info("candidates: reading %s", folder)
     one, two, three = sources(spark, folder)
     found = blocking.generate_candidates(one, two, three, k, threshold)
     tables.write_lists(blocking.candidate_lists(one, found), f"{out}/{CANDIDATES}")
+    log.info("candidates: written to %s/%s", out, CANDIDATES)
 
 
 def train(spark: SparkSession, folder: str, out: str, neg_ratio: int = 5, seed: int = 42, **trees) -> None:
     one, two, three = sources(spark, folder)
-    both = two.unionByName(three)
+    both = keyed(two, three)
     positives = matching.positive_pairs(tables.read_tsv(spark, f"{folder}/truth.tsv", tables.TRUTH_SCHEMA), both)
     pairs = matching.training_pairs(positives, matching.negative_pairs(positives, both, neg_ratio, seed))
     features = written(matching.pair_features(pairs, one, both), "features")  # every tree reads them
+    log.info("training: %d pairs", features.count())
     matching.save_model(matching.fit(features, seed=seed, **trees), f"{out}/{MODEL}")
+    log.info("training: model written to %s/%s", out, MODEL)
 
 
 def predict(spark: SparkSession, folder: str, out: str, threshold: float = 0.5) -> None:
@@ -50,8 +58,9 @@ def predict(spark: SparkSession, folder: str, out: str, threshold: float = 0.5)
     model = matching.load_model(f"{out}/{MODEL}")
     one, two, three = sources(spark, folder)
     pairs = tables.read_lists(spark, f"{out}/{CANDIDATES}")
-    scores = matching.score(matching.pair_features(pairs, one, two.unionByName(three)), model)
+    scores = matching.score(matching.pair_features(pairs, one, keyed(two, three)), model)
     tables.write_lists(matching.match_lists(one, matching.matched(scores, threshold)), f"{out}/{MATCHES}")
+    log.info("matching: written to %s/%s", out, MATCHES)
 
 
 def check(spark: SparkSession, folder: str, out: str, check_ids: bool = False) -> DataFrame:
@@ -77,9 +86,10 @@ def run(spark: SparkSession, out: str, train_folder: str | None, test_folder: st
     return check(spark, test_folder, out)
 
 
-def report(spark: SparkSession, folder: str, sample: int = 50_000) -> str:
-    """The profile of a data folder as Markdown: sizes and counts are of whole files,
-    text statistics of the first `sample` rows. Only aggregates reach the driver."""
+def report(spark: SparkSession, folder: str, sample: int = 50_000, out: str | None = None, truth_rows: int | None = None) -> str:
+    """The profile of a data folder as Markdown, also written to the folder `out`: sizes
+    and counts are of whole files, text statistics of the first `sample` rows, the noise
+    of all true pairs or those of truth_rows entities. Only aggregates reach the driver."""
     lines = ["# Profile"]
 
     def section(title: str, frame: DataFrame) -> None:
@@ -107,7 +117,12 @@ def report(spark: SparkSession, folder: str, sample: int = 50_000) -> str:
         section("Matches", profile.match_count_stats(pairs))
         section("Matches: histogram", profile.match_count_histogram(pairs))
         section("Singletons", profile.singletons(truth, pairs))
-        section("Noise of true pairs", profile.noise(pairs, one, two.unionByName(three)))
+        some = pairs if truth_rows is None else matching.truth_pairs(profile.sample_truth(truth, truth_rows))
+        section("Noise of true pairs", profile.noise(some, one, keyed(two, three)))
     grid = f_beta_grid(spark, [(0.95, 0.9), (0.9, 0.9), (0.8, 0.9), (0.95, 0.7), (0.0, 0.0)])
     section("F0.5 at precision and recall", grid.withColumn("f05", F.round("f05", 4)))
-    return "\n".join(lines) + "\n"
+    text = "\n".join(lines) + "\n"
+    if out:
+        tables.write_report(spark, text, out)
+        log.info("profile: written to %s", out)
+    return text

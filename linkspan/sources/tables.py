@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspan.functions import text as T
@@ -30,9 +30,21 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None, na_token
     return df.select(*(F.when(F.col(f"`{c}`").isin(*NA_TOKENS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
+def encoding_of(spark: SparkSession, path: str, n: int | None = None) -> str:
+    """UTF-8, or ISO-8859-1 if one of the lines (of the first n) isn't valid UTF-8."""
+    lines = spark.read.text(path)
+    lines = lines if n is None else lines.limit(n)
+    return "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+
+
+def read_full(spark: SparkSession, path: str) -> DataFrame:
+    """All rows in the encoding that the file has, bad rows skipped."""
+    return read_tsv(spark, path, tolerant=True, encoding=encoding_of(spark, path))
+
+
 def read_sample(spark: SparkSession, path: str, n: int = 50_000) -> DataFrame:
-    """The first n rows, bad rows skipped."""
-    return read_tsv(spark, path, tolerant=True).limit(n)
+    """The first n rows in the encoding that they have, bad rows skipped."""
+    return read_tsv(spark, path, tolerant=True, encoding=encoding_of(spark, path, n + 1)).limit(n)
 
 
 def key_column(df: DataFrame) -> str:
@@ -45,9 +57,13 @@ def file_size_mb(spark: SparkSession, path: str) -> float:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1, the header) and value. Numbers come from the position in the file."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(lines, "line_no bigint, value string")
+    """line_no (from 1, the header) and value. Numbers come from the position in the file,
+    of several files in the order of their paths; only the splits are put in order."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    bases = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return lines.join(bases, ["file", "block"]).select((F.col("base") + F.col("at") + 1).alias("line_no"), "value")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -92,6 +108,15 @@ def write_lists(df: DataFrame, path: str) -> None:
     writer.option("emptyValue", "").option("nullValue", "").option("quote", "\u0000").csv(path)
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """A report's lines (order, line) as text."""
-    lines.orderBy("order").select("line").coalesce(1).write.mode("overwrite").text(path)
+def write_report(spark: SparkSession, text: str, path: str) -> None:
+    """A report as lines of one text file in the folder path."""
+    lines = spark.createDataFrame(list(enumerate(text.split("\n"))), "place int, line string")
+    lines.coalesce(1).sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file with these bytes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(content))
+    out.close()

@@ -6,6 +6,7 @@ import pytest
 from linkspan.functions import metrics, similarity
 from linkspan.functions import text as T
 from linkspan.operators import blocking, evaluation, matching, profile, validation
+from linkspan.operators.keys import first_rows, keyed
 from linkspan.plans import fixtures
 from linkspan.sources import tables
 from pyspark.sql import functions as F
@@ -194,9 +195,72 @@ def test_trained_queries_fit_the_defaults(monkeypatch):
     monkeypatch.setattr(Q.M, "pair_features", lambda *a, **k: Frame())
     monkeypatch.setattr(Q, "_pairs", lambda t, ratio=5: calls.append(ratio))
     monkeypatch.setattr(Q, "_both", lambda t: None)
+    monkeypatch.setattr(Q, "written", lambda df, label: df)
     monkeypatch.setattr(Q.E, "run_evaluation", lambda *a, **k: calls.append(k) or [None])
     tables = dict.fromkeys(("er_source1", "er_source2", "er_source3", "er_truth"))
     Q.gbt_scores(tables)
     Q.run_evaluation(tables)
     assert calls == [5, {}, {}]
     assert (defaults["trees"].default, defaults["depth"].default) == (300, 6)
+
+
+def test_repeated_keys_and_first_rows(spark):
+    one = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), (None, 4)], "entity_id string, v int").coalesce(1)
+    two = spark.createDataFrame([("b", None), ("c", 6)], one.schema)
+    assert sorted(map(tuple, keyed(one, two).collect())) == [("a", 3), ("b", None), ("c", 6)] and keyed(one.limit(0)).count() == 0
+    assert sorted(r.v for r in first_rows(one.where("v < 4"), "entity_id", F.desc("v")).collect()) == [2, 3]
+
+
+def test_the_last_truth_row_counts(spark):
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2")], tables.TRUTH_SCHEMA).coalesce(1)
+    predicted = spark.createDataFrame([("S1-1", "S2-2")], tables.TRUTH_SCHEMA)
+    row = evaluation.macro(evaluation.entity_scores(predicted, truth)).first()
+    assert (row.macro_f05, row.n_entities) == (1.0, 1)
+
+
+def test_null_and_repeated_identifiers(spark, er):
+    def more(df):
+        again = df.limit(5).withColumn("business_name", F.lit("something else"))
+        return again.unionByName(df.coalesce(1)).unionByName(df.limit(3).withColumn("entity_id", F.lit(None).cast("string")))
+
+    sources = [er[f"er_source{n}"].coalesce(1) for n in (1, 2, 3)]
+    plain = blocking.generate_candidates(*sources).collect()
+    got = blocking.generate_candidates(*(more(s) for s in sources)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and len(got) > 1000
+    pairs = spark.createDataFrame([("S1-1", "S2-10")], "s1_id string, cand_id string")
+    both = sources[1].unionByName(sources[2])
+    assert matching.pair_features(pairs, more(sources[0]), more(both)).count() == 1
+
+
+def test_negatives_from_a_small_pool(spark):
+    candidates = spark.createDataFrame([(f"S2-{k}",) for k in range(6)], "entity_id string")
+    positives = spark.createDataFrame([("S1-1", "S2-0"), ("S1-2", "S2-0"), ("S1-2", "S2-1")], "s1_id string, cand_id string")
+    counts = {r.s1_id: r["count"] for r in matching.negative_pairs(positives, candidates, 2).groupBy("s1_id").count().collect()}
+    assert counts == {"S1-1": 2, "S1-2": 4}
+    assert matching.negative_pairs(positives, candidates, 50).groupBy("s1_id").count().where("count > 5").isEmpty()
+
+
+def test_sweep_is_that_of_each_threshold(spark, er):
+    scores = er["er_pairs"].withColumn("score", F.pmod(F.xxhash64("cand_id"), F.lit(100)) / 100.0)
+    scores = scores.unionByName(scores.limit(40).withColumn("cand_id", F.lit("S3-999")))
+    got = {r.threshold: r.macro_f05 for r in evaluation.threshold_sweep(scores, er["er_truth"], [0.0, 0.4, 0.9, 2.0]).collect()}
+    for t, value in got.items():
+        lists = matching.match_lists(er["er_source1"], matching.matched(scores, t))
+        assert abs(evaluation.macro(evaluation.entity_scores(lists, er["er_truth"])).first().macro_f05 - value) < 1e-12
+    assert len(got) == 4
+
+
+def test_lines_of_many_files_are_in_order(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}").write_text("".join(f"{k}-{j}\n" for j in range(5 * (3 - k))))
+    rows = tables.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r.line_no for r in rows] == list(range(1, 31)) and [r.value for r in rows] == [f"{k}-{j}" for k in range(3) for j in range(5 * (3 - k))]
+
+
+def test_a_replacement_character_is_valid(spark, tmp_path):
+    body = GOOD.replace("S2-2", "S2-\ufffd")
+    (tmp_path / "m").write_text(body)
+    (tmp_path / "b").write_bytes(body.encode("utf-8").replace(b"\xef\xbf\xbd", b"\xff"))
+    required = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "id string")
+    rules = [[r.rule for r in validation.check_file(spark, f"{tmp_path}/{n}", ["source1_entity_id", "matched_entity_ids"], required)[0].collect()] for n in ("m", "b")]
+    assert rules == [[], ["V18"]]

@@ -1,81 +1,22 @@
-"""What the corpus operators share: reading tables, shared storage, patterns."""
+"""What the corpus operators share: reading tables, rows to keep, patterns."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkspan.sources.shared import delete, dropped, shared_folder, ship, written
+
 #: Words are runs of anything but the ASCII blanks (fixed by the query contracts).
 BLANKS = "\\x20\\x09-\\x0D"
 WORD = f"[^{BLANKS}]+"
 
-_REPO = Path(__file__).resolve().parents[2]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the Python workers import this package.
-
-    Nothing is sent where PYTHONPATH or the working directory already show it
-    to the workers; otherwise a zip of the package goes to every executor.
-    """
-    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    context = spark.sparkContext
-    if str(_REPO) in (os.path.realpath(p) for p in [*paths, os.getcwd()] if p):
-        return
-    if getattr(context, "_linkspan_shipped", False):
-        return
-    with tempfile.TemporaryDirectory() as folder:
-        target = os.path.join(folder, "linkspan.zip")
-        with zipfile.ZipFile(target, "w") as out:
-            for path in (_REPO / "linkspan").rglob("*.py"):
-                out.write(path, path.relative_to(_REPO))
-        context.addPyFile(target)
-    context._linkspan_shipped = True
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share.
-
-    Where the setting is missing (tests on one machine) a local one is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='linkspan-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and a lost
-    executor costs a reread rather than a recomputation."""
-    spark = df.sparkSession
-    path = shared_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the table that `written` returned, once nothing reads it any more."""
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        delete(df.sparkSession, folder)
-
-
 def rows_that_stay(docs: DataFrame, stays: DataFrame, id_col: str, key) -> DataFrame:
     """The rows of docs that `stays` (stay_id, stay_key, ties: a written table with
     one row for each row to keep) names by identifier and key of the text. Where

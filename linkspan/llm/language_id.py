@@ -11,7 +11,8 @@ The prediction is the language with the largest proportion. Its score is that
 proportion times the posterior of the language among the single-language models
 on overlap-corrected counts, so texts of a few letters score lower.
 
-Edge cases: null text and text without a letter are `und` with score 0, as is
+Edge cases: of languages with the same likelihood or proportion the first by name
+leads; texts of any length are counted whole; null text and text without a letter are `und` with score 0, as is
 every text if nothing was learned; rows without a language teach nothing;
 repeated rows count as often as they occur; an empty table gives no rows; extra
 columns are ignored by `predict` and kept by `identified`.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 UND = "und"
 BUCKETS = 1 << 14
@@ -126,6 +127,7 @@ def _em(rows: np.ndarray, c: np.ndarray, n: float, share: np.ndarray) -> tuple[f
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts over all rows with a language; the driver holds BUCKETS numbers a language."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     counted = rows.mapInArrow(_count_rows, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
@@ -139,9 +141,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 _SCHEMA = "lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str | None = "text", keep: tuple[str, ...] = ("doc_id",), inside: str | None = None) -> DataFrame:
     """The columns `keep` of every row with lang_pred, score, languages, proportions.
+    The text is in text_col, or is the field `inside` of the struct that is kept first.
     The model (BUCKETS numbers for each language) is sent once for each executor."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.p))
 
     def run(batches):
@@ -150,7 +154,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
         model.languages, model.p, model.log = languages, p, np.log(p) if len(languages) else p
         for batch in batches:
             out = []
-            for text in batch.column("_text").to_pylist():
+            texts = batch.column("_text") if inside is None else batch.column(0).field(inside)
+            for text in texts.to_pylist():
                 counts = trigram_counts(text) if text and languages else None
                 if counts is None:
                     out.append((UND, 0.0, [], []))
@@ -163,7 +168,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
             arrays = [batch.column(k) for k in range(len(keep))] + [pa.array(x, t) for x, t in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[: len(keep)], "lang_pred", "score", "languages", "proportions"])
 
-    own = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    text = [F.col(text_col).cast("string").alias("_text")] if inside is None else []
+    own = docs.select(*keep, *text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)])
     return own.mapInArrow(run, f"{schema}, {_SCHEMA}" if keep else _SCHEMA)
 
@@ -171,8 +177,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
 def identified(docs: DataFrame, model: Model, text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
     """The rows of docs, columns unchanged, whose leading language has min_share at
     least; undetermined texts go."""
-    own = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_own_text"))
-    found = predict(own, model, "_own_text", ("_doc",))
+    if dict(docs.dtypes)[text_col] == "string":  # the text goes to Python once, in the row
+        found = predict(docs.select(F.struct("*").alias("_doc")), model, None, ("_doc",), text_col)
+    else:
+        found = predict(docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_own_text")), model, "_own_text", ("_doc",))
     return found.where((F.col("lang_pred") != UND) & (F.col("proportions")[0] >= min_share)).select(*(F.col(f"_doc.`{c}`") for c in docs.columns))
 
 

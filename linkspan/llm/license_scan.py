@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import ship, table, text_or_empty
 
 #: Names of each family, lower case, without punctuation (fixed texts).
 NAMES = {
@@ -377,6 +377,7 @@ _SPANS = pa.list_(pa.struct(list(zip(_NAMES, (pa.int64(), pa.int64(), pa.string(
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans (start and length in characters, family, score, match) of every row."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches):

@@ -8,7 +8,9 @@ The pair's words never change, so at most one document of a group stays undecide
 and carries the group's whole residue. Groups of about `fan_in` documents are
 folded where they are (array expressions), their residues meet in groups of
 `fan_in` again, and so on (large documents first, so that a small one is left): a reduction tree, in which a source that holds a third
-of all rows is cut into as many groups as it needs. The last residue of a source
+of all rows is cut into as many groups as it needs. Rows that repeat one another
+are counted first and then numbered, so a row that makes up a third of the corpus
+is spread over groups like any other. The last residue of a source
 goes to the nearer side: the words a source gives are within half a document of
 its target.
 
@@ -34,6 +36,8 @@ from .common import table, text_or_empty, written
 
 WEIGHTS = (5, 2, 1)
 FAN_IN = 256
+#: Rows that repeat one another are numbered in blocks of so many.
+SAME_ROWS = 4096
 #: Sources whose statistics are sent to every task; with more, Spark chooses the join.
 SENT_SOURCES = 10_000
 
@@ -107,6 +111,18 @@ def _folded(groups: DataFrame, seed: int) -> DataFrame:
     return groups.withColumn("f", fold).select(*(c for c in groups.columns if c != "items"), "f.held", "f.done")
 
 
+def _numbered(units: DataFrame) -> DataFrame:
+    """units with a number (copy) that tells rows apart that repeat one another."""
+    same = written(units.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("n")), "same")
+    last = F.col("n") - 1
+    if (same.agg(F.max("n")).first()[0] or 0) <= SAME_ROWS:
+        return same.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("n")
+    blocks = same.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / SAME_ROWS))))
+    first = F.col("block") * SAME_ROWS
+    dealt = blocks.repartition("doc_id", "tie", "block")  # the blocks of a hot row go to all tasks
+    return dealt.withColumn("copy", F.explode(F.sequence(first, F.least(last, first + SAME_ROWS - 1)))).drop("n", "block")
+
+
 def decisions(units: DataFrame, goals: DataFrame, seed: int = 42, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, tie, size, source, copies of every row of units (a written table)."""
     n_sources = goals.count()
@@ -116,29 +132,26 @@ def decisions(units: DataFrame, goals: DataFrame, seed: int = 42, fan_in: int =
     )
     if n_sources <= SENT_SOURCES:
         goal = F.broadcast(goal)
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "tie", F.lit(seed).cast("bigint"))
-    rows = units.join(goal, F.col("source").eqNullSafe(F.col("g_source"))).withColumn("key", key).withColumn("chunk", F.pmod("key", "chunks"))
-    # rows that repeat one another share a chunk: their number is cut into groups as well
-    within = Window.partitionBy("source", "chunk").orderBy("key", "doc_id", "size")
-    rows = rows.withColumn("part", F.floor((F.row_number().over(within) - 1) / (4 * fan_in)))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "tie", "copy", F.lit(seed).cast("bigint"))
+    rows = _numbered(units).join(goal, F.col("source").eqNullSafe(F.col("g_source"))).withColumn("key", key).withColumn("chunk", F.pmod("key", "chunks"))
     item = F.struct(
         F.col("size"), F.concat_ws("/", F.hex("key"), F.col("chunk").cast("string")).alias("leaf"),
         (F.col("wanted") - F.floor("wanted")).alias("p"),
         F.struct("doc_id", "tie", F.floor("wanted").cast("int").alias("copies")).alias("row"),
     )
-    groups = rows.groupBy("source", "chunk", "part").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
+    groups = rows.groupBy("source", "chunk").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
     leaves = written(_folded(groups, seed), "leaves")
     decided = leaves.select("source", F.explode("done").alias("d"))
-    level = leaves.where("held IS NOT NULL").select("source", F.col("chunk"), F.col("part"), "held")
+    level = leaves.where("held IS NOT NULL").select("source", "chunk", "held")
     most = goals.agg(F.max(F.ceil(F.col("n_docs") / fan_in))).first()[0] or 0
     while True:
         most = -(-most // fan_in)
-        parents = level.withColumn("chunk", F.floor(F.col("chunk") / fan_in)).withColumn("part", F.floor(F.col("part") / fan_in))
-        groups = parents.groupBy("source", "chunk", "part").agg(F.sort_array(F.collect_list("held"), asc=False).alias("items"))
+        parents = level.withColumn("chunk", F.floor(F.col("chunk") / fan_in))
+        groups = parents.groupBy("source", "chunk").agg(F.sort_array(F.collect_list("held"), asc=False).alias("items"))
         up = written(_folded(groups, seed), "level")
         decided = decided.unionByName(up.select("source", F.explode("done").alias("d")))
-        level = up.where("held IS NOT NULL").select("source", "chunk", "part", "held")
-        if most <= 1 and level.groupBy("source").count().where("count > 1").isEmpty():
+        level = up.where("held IS NOT NULL").select("source", "chunk", "held")
+        if most <= 1:
             break
     last = level.select("source", F.struct("held.leaf", F.when(F.col("held.p") >= 0.5, 1).otherwise(0).alias("extra"), "held.size", "held.row").alias("d"))
     return decided.unionByName(last).select("d.row.doc_id", "d.row.tie", "d.size", "source", (F.col("d.row.copies") + F.col("d.extra")).alias("copies"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import ship, table, text_or_empty
 from .language_id import held_out
 
 BUCKETS, DIMENSIONS = 1 << 16, 8
@@ -151,6 +151,7 @@ def _calibrated(spread: np.ndarray, logits: np.ndarray, labels: np.ndarray, step
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """docs and labels are joined by identifier; at most `rows` pairs are used. The
     driver holds their distinct features: at most BUCKETS for each."""
+    ship(docs.sparkSession)
     marks = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
     chosen = marks.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
     own = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_or_empty(text_col).alias("text"))
@@ -161,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of every row with score (0 to 1) and predicted."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     class Words(dict):

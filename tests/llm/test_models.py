@@ -54,6 +54,54 @@ def test_language_edge_cases(spark, texts, tricky, empty):
     assert kept.columns == tricky.columns and kept.where("text IS NULL OR text = ''").count() == 0
 
 
+def toy(draw, languages=3, width=30):
+    """A model of a few languages over a few buckets, and a mixture's counts."""
+    counts = draw.dirichlet(np.full(width, 0.3), languages) * 5000
+    model = L.Model([f"l{k}" for k in range(languages)], counts)
+    share = np.zeros(languages)
+    chosen = draw.choice(languages, draw.integers(1, languages + 1), replace=False)
+    share[chosen] = draw.dirichlet(np.full(len(chosen), 4.0))
+    return model, draw.multinomial(int(draw.choice([60, 300, 3000])), share @ model.p)
+
+
+def likeliest(model, counts, subset, steps=3000):
+    """The greatest log-likelihood of a subset's mixtures, by a long EM from even shares."""
+    at = np.flatnonzero(counts)
+    rows, c, share = model.p[np.ix_(subset, at)], counts[at], np.full(len(subset), 1 / len(subset))
+    for _ in range(steps):
+        share = share * (rows @ (c / (share @ rows))) / c.sum()
+    return float(np.log(share @ rows) @ c), share
+
+
+def test_em_reaches_the_optimum():
+    draw = np.random.default_rng(5)
+    for _ in range(60):
+        model, counts = toy(draw)
+        at = np.flatnonzero(counts)
+        value, share = L._em(model.p[:2][:, at], counts[at].astype(float), counts.sum(), np.ones(1))
+        grid = np.linspace(0, 1, 2001)[:, None]
+        every = np.log(np.clip(np.hstack([1 - grid, grid]) @ model.p[:2][:, at], 1e-300, None)) @ counts[at]
+        if grid[every.argmax()] > 2 * L.LEAST_SHARE:
+            assert value >= every.max() - 0.5 and abs(share[1] - grid[every.argmax()][0]) < 0.05
+
+
+def test_the_set_of_languages_is_the_best_of_all_subsets():
+    from itertools import combinations
+
+    draw, same = np.random.default_rng(6), 0
+    for _ in range(80):
+        model, counts = toy(draw)
+        n, best = counts.sum(), None
+        penalty = 0.5 * L.OVERLAP * np.log(n + 1) + L.OVERLAP
+        for size in (1, 2, 3):
+            for subset in combinations(range(3), size):
+                value, share = likeliest(model, counts, list(subset))
+                if size == 1 or share.min() >= L.LEAST_SHARE:
+                    best = max(best or (-np.inf,), (value - penalty * (size - 1), {f"l{k}" for k in subset}), key=lambda b: b[0])
+        same += set(model.mixture(counts)[0]) == best[1]
+    assert same >= 77, same  # the set grows one by one, so it may stop before a better pair
+
+
 def test_counts_do_not_depend_on_stretches(monkeypatch):
     text = "".join(random.Random(1).choice("abc é.Zß中 ") for _ in range(500))
     whole = L.trigram_counts(text)

@@ -5,7 +5,8 @@ they are joined, so both sides of a join are plain exchanges and Spark can split
 a hot node; the edge set is written to the shared folder between rounds, so
 neither lineage nor the driver grows with it. Rounds grow with the logarithm of
 the graph's size; before the first one, each task replaces the edges it reads by
-a forest of depth one, so few are needed.
+a forest of depth one, so few are needed. A graph of ONE_TASK edges or fewer (a few
+MB) is finished by one task in the same way.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 
 
-def _stars(batches):
+#: Edges that one task may hold.
+ONE_TASK = 1 << 18
+
+
+def stars(batches):
     """The edges of a task as edges to the smallest node that they lead to."""
     u, v = [], []
     for batch in batches:
@@ -66,15 +71,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return after
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) for every node of edges (u, v bigint); root is the component's
     smallest node. Loops and repeated edges are fine; no edges give no rows."""
     def shape(df):
         row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s")).first()
         return tuple(row)
 
-    stars = edges.where("u <> v").select("u", "v").mapInArrow(_stars, "u bigint, v bigint")
-    now = written(stars.distinct(), "edges")
+    def rooted(df):
+        roots = df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        return df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+    schema = "u bigint, v bigint"
+    now = written(edges.where("u <> v").select("u", "v").mapInArrow(stars, schema), "edges")
+    if now.count() <= one_task:
+        whole = written(now.coalesce(1).mapInArrow(stars, schema), "edges")
+        dropped(now)
+        return rooted(whole)
     before = shape(now)
     while before[0]:
         large = _large_star(now)
@@ -84,4 +97,4 @@ def components(edges: DataFrame) -> DataFrame:
         now, last, before = after, before, shape(after)
         if before == last:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return rooted(now)

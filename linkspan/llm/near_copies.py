@@ -11,13 +11,14 @@ Rows of a bucket are compared by SimHash as in simhash_dedup, bit-sliced with
 carry-save counters, on fingerprints of BITS bits: at similarity 0.8 a bit
 differs with a chance of 0.152 (0.188 where sets have a few hashes), so RADIUS is
 seven standard deviations off, and unrelated rows ten on the other side. Sets
-below SMALL hashes skip the fingerprints. What is near is confirmed by the exact
-Jaccard of the whole sets, after a bound by counts of their hashes.
-First, rows next to each other in the buckets of their FIRST_PLACES rarest hashes
-are confirmed and joined; then all buckets that still hold two components, and in
-them only rows of different ones, so a large group of copies doesn't make all its
-pairs. Buckets over `bucket_rows` rows are cut into chunks whose pairs are
-separate groups, as in simhash_dedup.
+below SMALL hashes skip the fingerprints. No pair leaves a task: what is near
+within a bucket is joined there, and the tasks' forests make groups, so what is
+written grows with the rows and not with the square of a group. Every link lies
+within a group. Then each group's whole sets meet once, are compared by SimHash
+again, and what is near is confirmed by the exact Jaccard of the sets; only a
+forest of the confirmed links is written. Buckets over `bucket_rows` rows and
+groups over GROUP_HASHES hashes are cut into chunks whose pairs are separate
+buckets or groups, as in simhash_dedup.
 
 Edge cases: null texts and texts without words are the empty set, and equal to
 each other. With fewer words than a shingle has, the whole sequence is the one
@@ -30,21 +31,22 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, text_or_empty, written
-from .components import components
+from .common import dropped, ship, text_or_empty, written
+from .components import components, spanned, stars
 from .simhash_dedup import COMPARE_ROWS, Planes, chunk_pairs, keep_first, labelled
 
-#: Words of a shingle; counters of the order; least cells of a set's counts.
-SHINGLE, ORDER_CELLS, CELLS = 5, 1 << 16, 128
+#: Words of a shingle; counters of the order.
+SHINGLE, ORDER_CELLS = 5, 1 << 16
 #: Bits of a fingerprint, differing bits up to which a pair is confirmed, and sets that skip this.
 BITS, RADIUS, SMALL = 512, 136, 32
-#: The first round: buckets of so many first hashes, rows up to so far apart.
-FIRST_PLACES, FIRST_LAGS = 3, 3
-#: Pairs and shingles handled in one go.
-PAIRS, BLOCK = 1 << 20, 1 << 13
+#: Hashes of a group that meet in one task, and those held before they are compared.
+GROUP_HASHES, HELD_HASHES = 1 << 20, 1 << 21
+#: Shingles handled in one go, and bytes of a matrix of shingles that sets share.
+BLOCK, MATRIX = 1 << 13, 1 << 25
 
 
 def shingle_set(text: bytes, seed: int = 42) -> np.ndarray:
@@ -82,7 +84,7 @@ def _cells_of(batches):
         for t in batch.column("text"):
             held.append(shingle_set(t.as_buffer().to_pybytes()) & (ORDER_CELLS - 1))
             size += len(held[-1])
-            if size > PAIRS:  # a few MB of hashes
+            if size > HELD_HASHES:
                 total += np.bincount(np.concatenate(held), minlength=ORDER_CELLS)
                 held, size = [], 0
     if held:
@@ -139,33 +141,11 @@ def _prints(frequency):
     return run
 
 
-def wide_cells(own: np.ndarray) -> bytes:
-    """Counts as in CELLS, in as many cells as a fourth of the set (a power of two)."""
-    width = max(CELLS, 1 << (len(own) // 4).bit_length())
-    counts = np.bincount(own & (width - 1), minlength=width)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
-
-
-def may_be_alike(x: bytes, y: bytes, n: int, m: int) -> bool:
-    """Whether wide cells of sets of n and m hashes leave room for the similarity."""
-    if not x or not y:
-        return True
-    width = min(len(x), len(y))
-    one, other = (np.frombuffer(c, dtype=np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int64) for c in (x, y))
-    return bool(alike(int(np.minimum(one, other).sum()), n, m))
-
-
 def _sets(batches):
     for batch in batches:
         sets = [shingle_set(t.as_buffer().to_pybytes()) for t in batch.column("text")]
-        columns = [batch.column("fp"), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_cells(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "wide", "hashes"])
-
-
-def _near(batches):
-    for batch in batches:
-        stays = [may_be_alike(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")))]
-        yield batch.select(["u", "v"]).filter(pa.array(stays, pa.bool_()))
+        columns = [*(batch.column(c) for c in ("fp", "bucket", "n", "sim")), pa.array(sets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["fp", "bucket", "n", "sim", "hashes"])
 
 
 def _ends(changes: np.ndarray) -> np.ndarray:
@@ -175,18 +155,16 @@ def _ends(changes: np.ndarray) -> np.ndarray:
     return np.repeat(runs + width, width)
 
 
-def candidates(bucket: np.ndarray, root: np.ndarray, n: np.ndarray, prints: np.ndarray, lags: int | None):
-    """Pairs (two arrays of rows, again and again) of one bucket and different roots, up
-    to `lags` rows apart, that may be alike; rows are sorted by bucket and root."""
+def candidates(bucket: np.ndarray, n: np.ndarray, prints: np.ndarray):
+    """Pairs (two arrays of rows, again and again) of one bucket that may be alike; rows
+    are sorted by bucket."""
     rows = np.arange(len(bucket))
     if not len(rows):
         return
-    other = np.r_[True, bucket[1:] != bucket[:-1]]
-    end = _ends(other)
-    low = _ends(other | np.r_[True, root[1:] != root[:-1]])  # rows of one root stand together
-    high = end if lags is None else np.maximum(low, np.minimum(end, rows + 1 + lags))
+    low, high = rows + 1, _ends(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in Planes(prints).near(low, high, RADIUS):
-        fits = alike(np.minimum(n[a], n[b]), n[a], n[b]) & (np.minimum(n[a], n[b]) >= SMALL)
+        least = np.minimum(n[a], n[b])
+        fits = alike(least, n[a], n[b]) & (least >= SMALL)
         yield a[fits], b[fits]
     # a small set's partners have 5/4 of its hashes at most
     some = np.flatnonzero(4 * n < 5 * SMALL)
@@ -202,105 +180,146 @@ def candidates(bucket: np.ndarray, root: np.ndarray, n: np.ndarray, prints: np.n
         lag += 1
 
 
-def _candidates(lags: int | None):
-    def run(batches):
-        def out(held: pa.Table):
-            fp = held["fp"].to_numpy()
-            prints = np.frombuffer(b"".join(held["sim"].to_pylist()), dtype="<u8").reshape(len(fp), -1)
-            found, size = [], 0
-
-            def once():
-                pairs = np.concatenate(found)
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
-                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-            for a, b in candidates(held["bucket"].to_numpy(), held["root"].to_numpy(), held["n"].to_numpy(), prints, lags):
-                found.append(np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])], axis=1))
-                size += len(a)
-                if size > PAIRS:
-                    yield once()
-                    found, size = [], 0
-            if size:
-                yield once()
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after the links a, b."""
+    return spanned(len(root), np.concatenate([np.arange(len(root)), a]), np.concatenate([root, b]))
+
+
+class Sets:
+    """The sets of the rows of a batch, and the exact similarity of pairs of them."""
+
+    def __init__(self, hashes: list[np.ndarray]):
+        self.hashes, self.n = hashes, np.array([len(h) for h in hashes])
+        self.matrix = None
+
+    def _bits(self, rows: np.ndarray) -> bool:
+        """Bits of the hashes that two or more of the rows have, if that fits MATRIX."""
+        every = np.concatenate([self.hashes[r] for r in rows])
+        _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1
+        width = -(-int(shared[-1] + 1) // 64) * 64 if len(shared) else 0
+        if len(rows) * width > 8 * MATRIX:
+            return False
+        keep = times[column] > 1
+        owner = np.repeat(np.arange(len(rows)), self.n[rows])[keep]
+        bits = np.zeros((len(rows), width), dtype=np.uint8)
+        bits[owner, shared[column[keep]]] = 1
+        self.place = np.zeros(len(self.hashes), dtype=np.int64)
+        self.place[rows] = np.arange(len(rows))
+        self.matrix = np.packbits(bits, axis=1).view(np.uint64)
+        return True
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the Jaccard of rows a[k] and b[k] is 4/5 or more."""
+        both = np.empty(len(a), dtype=np.int64)
+        rows = np.unique(np.concatenate([a, b]))
+        if len(a) > 4 * len(rows) and self._bits(rows):
+            step = max(1, MATRIX // max(8, 8 * self.matrix.shape[1]))
+            for at in range(0, len(a), step):
+                x, y = self.matrix[self.place[a[at : at + step]]], self.matrix[self.place[b[at : at + step]]]
+                both[at : at + step] = np.bitwise_count(x & y).sum(axis=1)
+        else:
+            both[:] = [len(np.intersect1d(self.hashes[x], self.hashes[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist())]
+        return alike(both, self.n[a], self.n[b])
+
+
+def linked(bucket: np.ndarray, n: np.ndarray, prints: np.ndarray, sets: Sets | None = None) -> np.ndarray:
+    """The root of each row after all links within its bucket: the near pairs, or with
+    sets those that are alike. Rows of one root aren't confirmed again."""
+    root = np.arange(len(bucket))
+    for a, b in candidates(bucket, n, prints):
+        order = np.argsort(bucket[a], kind="stable") if sets else slice(None)
+        a, b = a[order], b[order]
+        cuts = np.r_[0, np.flatnonzero(bucket[a][1:] != bucket[a][:-1]) + 1, len(a)] if sets and len(a) else [0, len(a)]
+        for start, end in zip(cuts, cuts[1:]):
+            x, y = a[start:end], b[start:end]
+            while sets and len(x):
+                apart = root[x] != root[y]
+                x, y = x[apart], y[apart]
+                now, (x, y) = (x[:PAIRS], y[:PAIRS]), (x[PAIRS:], y[PAIRS:])
+                if len(now[0]):
+                    good = sets.alike(*now)
+                    root = joined(root, now[0][good], now[1][good])
+            if not sets and len(x):
+                root = joined(root, x, y)
+    return root
+
+
+#: Pairs confirmed before roots are looked at again.
+PAIRS = 1 << 14
+
+
+def _links(exact: bool):
+    """The forest of a task's links, over rows (bucket, fp, n, sim and, to be exact, hashes)
+    that are sorted by bucket."""
+
+    def out(rows: pa.Table):
+        fp, n = rows["fp"].to_numpy(), rows["n"].to_numpy()
+        prints = np.frombuffer(b"".join(rows["sim"].to_pylist()), dtype="<u8").reshape(len(fp), -1)
+        sets = None
+        if exact:
+            lists = rows["hashes"].combine_chunks()
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sets = Sets([flat[a:b] for a, b in zip(ends, ends[1:])])
+        root = linked(rows["bucket"].to_numpy(), n, prints, sets)
+        child = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[root[child]])], names=["u", "v"])
 
+    def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
             held.append(batch)
-            size += batch.num_rows
-            if size < COMPARE_ROWS:
+            size += pc.sum(batch.column("n")).as_py() or 0 if exact else batch.num_rows
+            if size < (HELD_HASHES if exact else COMPARE_ROWS):
                 continue
             rows = pa.Table.from_batches(held)
             keys = rows["bucket"].to_numpy()
             last = int(np.searchsorted(keys, keys[-1]))
             if last:
-                yield from out(rows.slice(0, last))
-            held = rows.slice(last).to_batches()
-            size -= last
-        if size:
-            yield from out(pa.Table.from_batches(held))
-
-    return run
+                yield out(rows.slice(0, last).combine_chunks())
+            rest = rows.slice(last).combine_chunks()
+            held = rest.to_batches()
+            size = pc.sum(rest["n"]).as_py() if exact else rest.num_rows
+        if held:
+            yield out(pa.Table.from_batches(held).combine_chunks())
 
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) whose exact Jaccard is 4/5 or more; only texts of pairs are read as sets.
-    A written table."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    # written, so that Spark knows its size and sends a small one to the texts, not the texts to it
-    named = written(nodes.select("fp", F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie")).join(wanted, "fp"), "named")
-    text = text_or_empty(text_col)
-    texts = docs.join(named, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_tie")))
-    sets = written(texts.select("fp", text.cast("binary").alias("text")).mapInArrow(_sets, "fp bigint, n bigint, wide binary, hashes array<bigint>"), "sets")
-
-    def met(pairs, column, *more):
-        one = sets.select(F.col("fp").alias("u"), F.col(column).alias("x"), *(F.col(c) for c in more))
-        other = sets.select(F.col("fp").alias("v"), F.col(column).alias("y"), *(F.col(c).alias("m") for c in more))
-        return pairs.join(one, "u").join(other, "v")
-
-    # a fourth of a byte for each hash goes with every pair, whole sets only with those it leaves
-    near = written(met(pairs, "wide", "n").mapInArrow(_near, "u bigint, v bigint").distinct(), "near")
-    exact = alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))
-    found = written(met(near, "hashes").where(exact).select("u", "v").distinct(), "confirmed")
-    for used in (named, sets, near):
-        dropped(used)
-    return found
+    return lambda batches: stars(run(batches))
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 2048) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 2048, group_hashes: int = GROUP_HASHES) -> DataFrame:
     """doc_id, tie, fp (of the set) of every document with its component, as in simhash_dedup."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("text"))
+    ship(docs.sparkSession)
     order = docs.sparkSession.sparkContext.broadcast(frequencies(rows))
     prints = written(rows.mapInArrow(_prints(order), "doc_id bigint, tie bigint, fp bigint, n bigint, sim binary, prefix array<bigint>"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
     nodes = written(prints.groupBy("fp").agg(first, *(F.first(c).alias(c) for c in ("n", "sim", "prefix"))), "nodes")
-    entries = nodes.select("fp", F.posexplode("prefix").alias("place", "bucket"))
+
+    # groups: what may be alike, by the buckets that two or more sets share
+    entries = nodes.select("fp", F.explode("prefix").alias("bucket"))
     counts = written(entries.groupBy("bucket").count().where("count > 1"), "counts")
-    shared = written(entries.join(counts, "bucket"), "shared")
-    dropped(counts)
-
-    def near(met: DataFrame, linked: DataFrame | None, lags: int | None) -> DataFrame:
-        """The near pairs of different components among rows (fp, bucket), a written table."""
-        sizes = met.groupBy("bucket").count()
-        hot = written(sizes.where(F.col("count") > bucket_rows), "hot")
-        dealt = chunk_pairs(met, hot, bucket_rows).join(nodes.select("fp", "n", "sim"), "fp")
-        root = F.col("fp") if linked is None else F.coalesce("root", "fp")
-        dealt = dealt if linked is None else dealt.join(linked, F.col("fp") == F.col("node"), "left")
-        dealt = dealt.select("bucket", "fp", root.alias("root"), "n", "sim").repartition("bucket").sortWithinPartitions("bucket", "root", "fp")
-        return written(dealt.mapInArrow(_candidates(lags), "u bigint, v bigint").distinct(), "pairs")
-
-    pairs = near(shared.where(F.col("place") < FIRST_PLACES).select("fp", "bucket"), None, FIRST_LAGS)
-    edges = confirmed(pairs, nodes, docs, id_col, text_col)
-    linked = written(components(edges), "components")
-    own = shared.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "bucket", F.coalesce("root", "fp").alias("root"))
-    apart = written(own.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket"), "apart")
-    again = near(written(shared.join(apart, "bucket", "left_semi").select("fp", "bucket"), "met"), linked, None)
-    if not again.isEmpty():
-        edges = edges.unionByName(confirmed(again, nodes, docs, id_col, text_col))
-        linked = written(components(edges), "components")
-    return labelled(prints.select("doc_id", "tie", "fp"), nodes.select("fp", "first"), linked)
+    shared = entries.join(counts.select("bucket"), "bucket")
+    hot = written(counts.where(F.col("count") > bucket_rows), "hot")
+    dealt = written(chunk_pairs(shared, hot, bucket_rows), "dealt")
+    met = dealt.join(nodes.select("fp", "n", "sim"), "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
+    groups = components(written(met.mapInArrow(_links(False), "u bigint, v bigint"), "near"))
+    for used in (counts, hot, dealt):
+        dropped(used)
+
+    # links: each group's whole sets, read from the texts of its members only
+    members = written(groups.join(nodes.select("fp", "n", "sim", "first"), F.col("node") == F.col("fp")).select("fp", F.col("root").alias("bucket"), "n", "sim", F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie")), "members")
+    large = written(members.groupBy("bucket").agg(F.sum("n").alias("count")).where(F.col("count") > group_hashes), "large")
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_tie"))
+    texts = docs.join(members, same).select("fp", "bucket", "n", "sim", text.cast("binary").alias("text")).dropDuplicates(["fp"])
+    sets = written(texts.mapInArrow(_sets, "fp bigint, bucket bigint, n bigint, sim binary, hashes array<bigint>"), "sets")
+    whole = chunk_pairs(sets, large, group_hashes).repartition("bucket").sortWithinPartitions("bucket", "fp")
+    links = components(written(whole.mapInArrow(_links(True), "u bigint, v bigint"), "links"))
+    linked_ = written(links, "components")
+    for used in (members, large, sets):
+        dropped(used)
+    return labelled(prints.select("doc_id", "tie", "fp"), nodes.select("fp", "first"), linked_)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -276,16 +276,17 @@ def _buckets(nodes: DataFrame, blocks: int, radius: int) -> DataFrame:
 
 
 def chunk_pairs(buckets: DataFrame, hot: DataFrame, bucket_rows: int) -> DataFrame:
-    """(fp, bucket), where a bucket of `hot` (bucket, count) is cut into chunks, and
-    each two of them are a bucket of their own."""
+    """buckets (fp, bucket and more), where a bucket of `hot` (bucket, count) is cut into
+    chunks, and each two of them are a bucket of their own."""
     if hot.isEmpty():
         return buckets
+    others = [c for c in buckets.columns if c != "bucket"]
     chunks = F.ceil(2 * F.col("count") / bucket_rows).cast("int")
     cut = buckets.join(hot, "bucket", "left").withColumn("chunks", F.coalesce(chunks, F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    return cut.select("fp", F.when(F.col("chunks") == 1, F.col("bucket")).otherwise(pair).alias("bucket"))
+    return cut.select(*others, F.when(F.col("chunks") == 1, F.col("bucket")).otherwise(pair).alias("bucket"))
 
 
 def links(nodes: DataFrame, radius: int = 4, bucket_rows: int = 8192) -> DataFrame:

@@ -65,7 +65,7 @@ def test_stage_against_brute_force(spark):
 def test_hot_buckets_and_documents(spark):
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    cut = {r.doc_id: r.component_id for r in N.decisions(docs, bucket_rows=4).collect()}
+    cut = {r.doc_id: r.component_id for r in N.decisions(docs, bucket_rows=4, group_hashes=200).collect()}
     assert sorted(set(cut.values())) == brute(rows)
     docs = spark.read.parquet(f"{DOCS}/documents.parquet").select("doc_id", "text")
     assert sorted(r.doc_id for r in N.deduplicate(docs).collect()) == brute([tuple(r) for r in docs.collect()])
@@ -78,16 +78,16 @@ def test_sets_and_bounds():
         assert N.prefix_size(n) == n - int(np.ceil(n * 4 / 5 - 1e-9)) + 1
 
 
-def test_cells_never_lose_a_pair():
+def test_exact_similarity_by_either_way(monkeypatch):
     draw = np.random.default_rng(3)
-    for n in (1, 7, 300, 5000):
-        a = np.unique(draw.integers(-(2**63), 2**63 - 1, n))
-        for share in (1.0, 0.9, 0.85, 0.3):
-            b = np.unique(np.r_[a[: int(len(a) * share)], draw.integers(-(2**63), 2**63 - 1, int(n * draw.random() * 0.2))])
-            both = len(np.intersect1d(a, b))
-            if N.alike(both, len(a), len(b)):
-                assert N.may_be_alike(N.wide_cells(a), N.wide_cells(b), len(a), len(b))
-    assert not N.may_be_alike(N.wide_cells(np.arange(0, 9000, 2)), N.wide_cells(np.arange(1, 9000, 2)), 4500, 4500)
+    base = np.unique(draw.integers(-(2**63), 2**63 - 1, 100))
+    hashes = [np.unique(np.r_[draw.choice(base, draw.integers(60, 100), replace=False), draw.integers(0, 2**62, draw.integers(0, 9))]) for _ in range(40)]
+    a, b = np.triu_indices(40, 1)
+    want = [len(set(hashes[x]) & set(hashes[y])) / len(set(hashes[x]) | set(hashes[y])) >= 0.8 for x, y in zip(a, b)]
+    assert any(want) and not all(want)
+    assert N.Sets(hashes).alike(a, b).tolist() == want
+    monkeypatch.setattr(N, "MATRIX", 1)
+    assert N.Sets(hashes).alike(a, b).tolist() == want
 
 
 def test_fingerprints_never_lose_a_pair():
@@ -118,3 +118,17 @@ def test_a_passage_of_all_documents(spark):
     rows += [(300 + k, rows[k][1] + " more") for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert sorted(r.doc_id for r in N.deduplicate(docs).collect()) == list(range(300)) == brute(rows)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Copies of one text that are alike to it, but mostly not to each other, and some that are alike to nothing."""
+    draw, base = random.Random(12), [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 400):
+        words = list(base)
+        for at in draw.sample(range(0, 195, 6), 4 if k % 5 else 9):
+            words[at] = f"x{draw.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = brute(rows)
+    assert 40 < len(want) < 200 and sorted(r.doc_id for r in N.deduplicate(docs).collect()) == want

@@ -66,8 +66,9 @@ def test_links_miss_nothing(spark, bucket_rows):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 150)] + [(7, 7), (3, 2)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
-    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 150)}
+    for one_task in (1 << 18, 0):
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(7), one_task).collect()}
+        assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 150)}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 

@@ -5,10 +5,13 @@
 The top-k doesn't need the pairs: one term that a third of a block shares (its
 country's name, say) pairs nearly everything, and nearly none of those pairs win.
 `best_pairs` deals both sides into parts of bounded size, and a task takes one
-part of each: it adds the right part's postings up in one array for each left
-row, and hands on that row's k best. So no pair is shuffled but k for each row
-and part, a block is never gathered, and the result is exact. Built-in operators
-can't keep such an array, hence Arrow and numpy.
+part of each: terms that many rows of the right part have are a dense matrix that
+is multiplied with the left rows', the postings of the others are added up, and
+each left row's k best go on. So no pair is shuffled but k for each row and part,
+a block is never gathered, and the result is exact. Still every part of a block
+meets every part of its other side: the work grows with the square of a block, and
+each side is copied as often as the other has parts. Built-in operators can't keep
+such arrays, hence Arrow and numpy.
 
 The vocabulary is at most `max_terms` rows, a fixed bound, so it may be broadcast.
 `generate_candidates` takes the last of rows that repeat an identifier and leaves
@@ -60,16 +63,15 @@ def vocabulary(rows: DataFrame, min_df: int = 3, max_df: float = 0.6, max_terms:
     return kept.select("term", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def _weighted(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """id, block, w and all columns of words."""
-    raw = term_counts(rows).join(F.broadcast(words), "term").withColumn("raw", (1.0 + F.log("tf")) * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id", "block")))
-    return raw.select("id", "block", *words.columns, (F.col("raw") / length).alias("w"))
+def _raw(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """id, block, raw weight and all columns of words."""
+    return term_counts(rows).join(F.broadcast(words), "term").withColumn("raw", (1.0 + F.log("tf")) * F.col("idf"))
 
 
 def weights(rows: DataFrame, words: DataFrame) -> DataFrame:
     """id, block, term, w: sublinear TF times IDF, scaled to length 1 for each id."""
-    return _weighted(rows, words).select("id", "block", "term", "w")
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id", "block")))
+    return _raw(rows, words).select("id", "block", "term", (F.col("raw") / length).alias("w"))
 
 
 def numbered(words: DataFrame) -> DataFrame:
@@ -80,8 +82,8 @@ def numbered(words: DataFrame) -> DataFrame:
 def vectors(rows: DataFrame, words: DataFrame) -> DataFrame:
     """id, block, terms (numbers), weights: one row for each entity; words are numbered.
     The dealing by id that counts the terms serves all of it."""
-    cells = _weighted(rows, words).groupBy("id", "block").agg(F.collect_list(F.struct("n", "w")).alias("cells"))
-    return cells.select("id", "block", F.col("cells.n").alias("terms"), F.col("cells.w").alias("weights"))
+    cells = _raw(rows, words).groupBy("id", "block").agg(F.collect_list(F.struct("n", "raw")).alias("cells"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    return cells.select("id", "block", F.col("cells.n").alias("terms"), F.transform("cells", lambda c: c["raw"] / F.col("length")).alias("weights"))
 
 
 def pair_scores(left: DataFrame, right: DataFrame, threshold: float = 0.10) -> DataFrame:
@@ -92,6 +94,12 @@ def pair_scores(left: DataFrame, right: DataFrame, threshold: float = 0.10) -> D
     return sums.select("s1_id", "cand_id", F.round("dot", 6).alias("score")).where(F.col("score") >= threshold)
 
 
+#: A term is dense if one in DENSE right rows has it; at most MOST_DENSE are.
+DENSE, MOST_DENSE = 16, 64
+#: Scores held at a time, for as many left rows as they allow.
+SCORES = 1 << 21
+
+
 def _best_of_parts(k: int, threshold: float):
     """A function of a part of the left and one of the right vectors of a block: each
     left row's k best candidates of that part, ties by identifier."""
@@ -102,27 +110,46 @@ def _best_of_parts(k: int, threshold: float):
 
         ids, scores, found = [], [], []
         if len(left) and len(right):
-            names = right["id"].to_numpy()
-            places = np.empty(len(names), dtype=np.int64)
-            places[np.argsort(names, kind="stable")] = np.arange(len(names))
+            names, n = right["id"].to_numpy(), len(right)
+            places = np.empty(n, dtype=np.int64)
+            places[np.argsort(names, kind="stable")] = np.arange(n)
             terms = np.concatenate(right["terms"].to_numpy())
             order = np.argsort(terms, kind="stable")
-            terms = terms[order]
-            owners = np.repeat(np.arange(len(names)), right["terms"].map(len))[order]
+            owners = np.repeat(np.arange(n), right["terms"].map(len))[order]
             values = np.concatenate(right["weights"].to_numpy())[order]
-            for name, own_terms, own_weights in zip(left["id"], left["terms"], left["weights"]):
-                low, high = np.searchsorted(terms, own_terms), np.searchsorted(terms, own_terms, "right")
-                total = np.zeros(len(names))
-                for a, b, w in zip(low, high, own_weights):
-                    total[owners[a:b]] += w * values[a:b]  # an entity has a term once
-                near = np.flatnonzero(total >= threshold - 1e-6)
-                rounded = np.round(total[near], 6)
-                if len(near) > k:
-                    near = near[rounded >= np.partition(rounded, -k)[-k]]
-                    near = near[np.lexsort((places[near], -np.round(total[near], 6)))[:k]]
-                ids.append(np.full(len(near), name, dtype=object))
-                found.append(names[near])
-                scores.append(total[near])
+            known, starts, counts = np.unique(terms[order], return_index=True, return_counts=True)
+            heavy = np.argsort(-counts, kind="stable")[:MOST_DENSE]
+            heavy = heavy[counts[heavy] * DENSE > n]
+            dense, row_of = np.zeros((len(heavy), n)), np.full(len(known), -1)
+            row_of[heavy] = np.arange(len(heavy))
+            for row, at in enumerate(heavy):
+                cells = slice(starts[at], starts[at] + counts[at])
+                dense[row, owners[cells]] = values[cells]
+            own_names, own_terms, own_weights = (left[c].to_numpy() for c in ("id", "terms", "weights"))
+            step = max(1, SCORES // n)
+            for first in range(0, len(left), step):
+                sizes = [len(t) for t in own_terms[first : first + step]]
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                term, weight = np.concatenate(own_terms[first : first + step]), np.concatenate(own_weights[first : first + step])
+                at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+                there = known[at] == term
+                row, at, weight = row[there], at[there], weight[there]
+                thick = row_of[at] >= 0
+                factors = np.zeros((len(sizes), len(heavy)))
+                factors[row[thick], row_of[at[thick]]] = weight[thick]  # an entity has a term once
+                row, at, weight = row[~thick], at[~thick], weight[~thick]
+                many = counts[at]
+                posting = np.arange(many.sum()) + np.repeat(starts[at] - (np.cumsum(many) - many), many)
+                thin = np.bincount(np.repeat(row, many) * n + owners[posting], weights=np.repeat(weight, many) * values[posting], minlength=len(sizes) * n)
+                for name, total in zip(own_names[first : first + step], factors @ dense + thin.reshape(len(sizes), n)):
+                    near = np.flatnonzero(total >= threshold - 1e-6)
+                    rounded = np.round(total[near], 6)
+                    if len(near) > k:
+                        near = near[rounded >= np.partition(rounded, -k)[-k]]
+                        near = near[np.lexsort((places[near], -np.round(total[near], 6)))[:k]]
+                    ids.append(np.full(len(near), name, dtype=object))
+                    found.append(names[near])
+                    scores.append(total[near])
         if not ids:
             return pd.DataFrame({"s1_id": [], "cand_id": [], "score": []}).astype({"s1_id": object, "cand_id": object, "score": float})
         return pd.DataFrame({"s1_id": np.concatenate(ids), "cand_id": np.concatenate(found), "score": np.concatenate(scores)})
@@ -130,13 +157,14 @@ def _best_of_parts(k: int, threshold: float):
     return best
 
 
-def best_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, k: int = 15, threshold: float = 0.10, left_rows: int = 1 << 12, right_rows: int = 1 << 16) -> DataFrame:
+def best_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, k: int = 15, threshold: float = 0.10, left_rows: int = 1 << 15, right_rows: int = 1 << 16) -> DataFrame:
     """s1_id, cand_id, score, rank: the k best of each s1_id from the threshold on.
 
     left and right are vectors, of about n_left and n_right entities; left_rows and
     right_rows are the sizes of the parts and don't change the result."""
     ship(left.sparkSession)
-    parts = {"l": max(1, -(-n_left // left_rows)), "r": max(1, -(-n_right // right_rows))}
+    # a few thousand left rows are worth a task of their own, so that small inputs use all cores
+    parts = {"l": max(-(-n_left // left_rows), min(8, -(-n_left // (1 << 11))), 1), "r": max(1, -(-n_right // right_rows))}
 
     def dealt(df, own, other):
         mine = F.pmod(F.xxhash64("id"), F.lit(parts[own])).alias(own)

@@ -30,7 +30,7 @@ from .common import ship, table
 UND = "und"
 BUCKETS = 1 << 14
 OVERLAP = 3
-EM_STEPS = 25
+EM_STEPS = 100
 #: A further language must take this share at least.
 LEAST_SHARE = 0.02
 #: Characters of a text that are turned into trigrams at a time.
@@ -118,7 +118,7 @@ def _em(rows: np.ndarray, c: np.ndarray, n: float, share: np.ndarray) -> tuple[f
     for _ in range(EM_STEPS):
         mixed = pi @ rows
         new = pi * (rows @ (c / mixed)) / n
-        done = abs(new - pi).max() < 1e-3
+        done = abs(new - pi).max() < 1e-4
         pi = new
         if done or pi[-1] < LEAST_SHARE / 4:
             break

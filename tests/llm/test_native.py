@@ -113,17 +113,17 @@ def test_expectation_of_each_document(spark):
 
 
 def test_hot_rows_are_numbered_in_blocks(spark, monkeypatch):
-    rows = [(1, "a", 3, 9)] * 700 + [(i, "a", 5, i) for i in range(2, 300)] + [(None, None, 2, 4)] * 50
+    rows = [(1, "a", 3, 9000)] * 700 + [(i, "a", 5, i) for i in range(2, 300)] + [(None, None, 2, 5000)] * 50
     units = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint, tie bigint").repartition(5)
     plain = sorted(map(tuple, M._numbered(units).select("tie", "copy").collect()))
-    assert plain == sorted([(9, k) for k in range(700)] + [(i, 0) for i in range(2, 300)] + [(4, k) for k in range(50)])
+    assert plain == sorted([(9000, k) for k in range(700)] + [(i, 0) for i in range(2, 300)] + [(5000, k) for k in range(50)])
     goals = M.targets(units)
     want = sorted((r.tie, r.copies) for r in M.decisions(units, goals, fan_in=16).collect())
     monkeypatch.setattr(M, "SAME_ROWS", 64)
     assert sorted(map(tuple, M._numbered(units).select("tie", "copy").collect())) == plain
     assert sorted((r.tie, r.copies) for r in M.decisions(units.repartition(2), goals, fan_in=16).collect()) == want
     assert len(want) == len(rows)
-    taken = sum(c * {9: 3, 4: 2}.get(t, 5) for t, c in want if t != 4)
+    taken = sum(c * (3 if t == 9000 else 5) for t, c in want if t != 5000)
     assert abs(taken - next(g.target for g in goals.collect() if g.source == "a")) <= 2.5
 
 

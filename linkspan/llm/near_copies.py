@@ -45,6 +45,8 @@ SHINGLE, ORDER_CELLS = 5, 1 << 16
 BITS, RADIUS, SMALL = 512, 136, 32
 #: Hashes of a group that meet in one task, and those held before they are compared.
 GROUP_HASHES, HELD_HASHES = 1 << 20, 1 << 21
+#: Pairs confirmed before the rows' roots are looked at again.
+PAIRS = 1 << 14
 #: Shingles handled in one go, and bytes of a matrix of shingles that sets share.
 BLOCK, MATRIX = 1 << 13, 1 << 25
 
@@ -245,10 +247,6 @@ def linked(bucket: np.ndarray, n: np.ndarray, prints: np.ndarray, sets: Sets | N
     return root
 
 
-#: Pairs confirmed before roots are looked at again.
-PAIRS = 1 << 14
-
-
 def _links(exact: bool):
     """The forest of a task's links, over rows (bucket, fp, n, sim and, to be exact, hashes)
     that are sorted by bucket."""
@@ -315,11 +313,11 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     texts = docs.join(members, same).select("fp", "bucket", "n", "sim", text.cast("binary").alias("text")).dropDuplicates(["fp"])
     sets = written(texts.mapInArrow(_sets, "fp bigint, bucket bigint, n bigint, sim binary, hashes array<bigint>"), "sets")
     whole = chunk_pairs(sets, large, group_hashes).repartition("bucket").sortWithinPartitions("bucket", "fp")
-    links = components(written(whole.mapInArrow(_links(True), "u bigint, v bigint"), "links"))
-    linked_ = written(links, "components")
+    links = written(whole.mapInArrow(_links(True), "u bigint, v bigint"), "links")
+    confirmed = written(components(links), "components")
     for used in (members, large, sets):
         dropped(used)
-    return labelled(prints.select("doc_id", "tie", "fp"), nodes.select("fp", "first"), linked_)
+    return labelled(prints.select("doc_id", "tie", "fp"), nodes.select("fp", "first"), confirmed)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

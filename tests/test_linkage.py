@@ -264,3 +264,13 @@ def test_a_replacement_character_is_valid(spark, tmp_path):
     required = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "id string")
     rules = [[r.rule for r in validation.check_file(spark, f"{tmp_path}/{n}", ["source1_entity_id", "matched_entity_ids"], required)[0].collect()] for n in ("m", "b")]
     assert rules == [[], ["V18"]]
+
+
+def test_the_vocabulary_has_every_term(spark):
+    """More than 100,000 terms, each in three rows."""
+    words = F.expr("array_join(transform(sequence(0, 39), x -> concat('w', cast(id % 1400 * 40 + x as string))), ' ')")
+    rows = spark.range(4200).select(F.concat(F.lit("S2-"), "id").alias("id"), F.lit("US").alias("block"), words.alias("text"))
+    terms = blocking.vocabulary(rows)
+    assert terms.count() == 1400 * 79 and terms.where("df <> 3").isEmpty()
+    assert blocking.vocabulary(rows, max_terms=100).count() == 100
+    assert blocking.weights(rows, terms).count() == 4200 * 79

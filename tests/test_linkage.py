@@ -274,3 +274,58 @@ def test_the_vocabulary_has_every_term(spark):
     assert terms.count() == 1400 * 79 and terms.where("df <> 3").isEmpty()
     assert blocking.vocabulary(rows, max_terms=100).count() == 100
     assert blocking.weights(rows, terms).count() == 4200 * 79
+
+
+def _vectors(draw, n, mark, terms=60):
+    import math
+
+    import pyarrow as pa
+
+    rows = []
+    for k in range(n):
+        own = sorted({min(int(draw.expovariate(0.08)), terms - 1) for _ in range(draw.randrange(1, 9))})
+        raw = [1 + t / 10 for t in own]
+        rows.append((f"{mark}{k}", own, [w / math.sqrt(sum(x * x for x in raw)) for w in raw]))
+    return rows, pa.table({"id": [r[0] for r in rows], "terms": pa.array([r[1] for r in rows], pa.list_(pa.int32())), "weights": [r[2] for r in rows]})
+
+
+@pytest.mark.parametrize("share", [0, 8, 1 << 40])
+def test_the_search_finds_what_all_pairs_give(share):
+    """Postings only, a mixture, and all pairs; the vectors have many ties."""
+    from linkspan.operators import nearest
+
+    draw = random.Random(5)
+    (left, a), (right, b) = _vectors(draw, 300, "S1-"), _vectors(draw, 700, "S2-")
+    got = {}
+    for r in nearest.best(4, 0.3, share)(a, b).to_pylist():
+        got.setdefault(r["s1_id"], []).append((-round(r["score"], 6), r["cand_id"]))
+    sums = {r["s1_id"]: r for r in nearest.totals(0.3)(a, b).to_pylist()}
+    for name, terms, weights in left:
+        own = dict(zip(terms, weights))
+        scores = [(-round(sum(own.get(t, 0) * w for t, w in zip(ts, ws)), 6), other) for other, ts, ws in right]
+        hits = sorted(s for s in scores if s[0] <= -0.3)
+        assert sorted(got.get(name, [])) == hits[:4]
+        if hits:
+            row, micro = sums.pop(name), [round(-s * 1e6) for s, _ in hits]
+            assert (row["n"], row["total"], row["least"], row["most"]) == (len(hits), sum(micro), min(micro), max(micro))
+    assert not sums
+
+
+def test_the_search_scores_few_pairs(monkeypatch):
+    from linkspan.operators import nearest
+
+    draw, scored = random.Random(6), []
+    plain = nearest._Batch.some_of
+    monkeypatch.setattr(nearest._Batch, "some_of", lambda self, row, other, position: scored.append(len(row)) or plain(self, row, other, position))
+    (left, a), (_, b) = _vectors(draw, 200, "S1-", 2000), _vectors(draw, 20_000, "S2-", 2000)
+    assert len(nearest.best(15, 0.1, 0)(a, b)) == 200 * 15
+    assert sum(scored) < 200 * 20_000 / 8
+
+
+def test_sums_of_pairs_are_those_of_all_pairs(er):
+    left, right = blocking.processed(er["er_source1"]), blocking.processed(er["er_source2"].unionByName(er["er_source3"]))
+    words = blocking.numbered(blocking.vocabulary(right)).cache()
+    want = blocking.pair_scores(blocking.weights(left, words.drop("n")), blocking.weights(right, words.drop("n")))
+    want = want.groupBy("s1_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("score") * 1e6)).cast("bigint").alias("total"))
+    got = blocking.pair_totals(blocking.vectors(left, words), blocking.vectors(right, words), left_rows=40, right_rows=70).groupBy("s1_id").agg(F.sum("n"), F.sum("total"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

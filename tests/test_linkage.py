@@ -329,3 +329,31 @@ def test_sums_of_pairs_are_those_of_all_pairs(er):
     want = want.groupBy("s1_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("score") * 1e6)).cast("bigint").alias("total"))
     got = blocking.pair_totals(blocking.vectors(left, words), blocking.vectors(right, words), left_rows=40, right_rows=70).groupBy("s1_id").agg(F.sum("n"), F.sum("total"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_trees_on_cells(spark, er):
+    """300 trees of the default depth end soon; Spark's model gives the margins that were grown."""
+    import time
+
+    import numpy as np
+
+    from linkspan.operators import boosting
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = spark.range(3000).selectExpr("id % 11 / 10.0D AS a", "pmod(xxhash64(id), 101) / 100.0D AS b", "CAST(id % 11 > 6 AND pmod(xxhash64(id), 101) > 30 AS INT) AS label").cache()
+    start, names = time.time(), ("a", "b")
+    cuts = boosting.borders(rows, names)
+    table = boosting.cells(rows, names, cuts).toPandas()
+    assert table["n"].sum() == 3000 and len(cuts[0]) == 10
+    code, label = table["code"].to_numpy(), table["label"].to_numpy()
+    bins = np.stack([code & 31, code >> 5])
+    grown, margin = boosting.boost(bins, label, table["n"].to_numpy(), 2.0, 300, 6, 0.05, 42)
+    assert time.time() - start < 60 and ((margin > 0) == (label == 1)).mean() > 0.9
+    model = boosting.spark_model(spark, grown[:20], cuts, 0.05)
+    scored = model.transform(VectorAssembler(inputCols=list(names), outputCol="features").transform(rows)).select("a", "b", vector_to_array("probability")[1].alias("p")).collect()
+    few, margin = boosting.boost(bins, label, table["n"].to_numpy(), 2.0, 20, 6, 0.05, 42)
+    known = dict(zip(code.tolist(), margin.tolist()))
+    for r in scored:
+        place = sum(r.a > x for x in cuts[0]) + (sum(r.b > x for x in cuts[1]) << 5)
+        assert abs(r.p - 1 / (1 + np.exp(-2 * known[place]))) < 1e-9

@@ -30,8 +30,34 @@ def rows_that_stay(docs: DataFrame, stays: DataFrame, id_col: str, key) -> DataF
     return alone.unionByName(repeated)
 
 
+def released() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
+def releasing(run):
+    """run (batches to batches), whose task leaves no unused memory in its worker: workers
+    are kept, so what one stage holds would add to the next one's."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return task
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-__all__ = ["BLANKS", "WORD", "delete", "dropped", "rows_that_stay", "shared_folder", "ship", "table", "text_or_empty", "written"]
+__all__ = ["BLANKS", "WORD", "delete", "dropped", "released", "releasing", "rows_that_stay", "shared_folder", "ship", "table", "text_or_empty", "written"]

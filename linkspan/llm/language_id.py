@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import releasing, ship, table
 
 UND = "und"
 BUCKETS = 1 << 14
@@ -129,7 +129,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     """Counts over all rows with a language; the driver holds BUCKETS numbers a language."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counted = rows.mapInArrow(_count_rows, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.mapInArrow(releasing(_count_rows), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS))
     for k, lang in enumerate(languages):
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: Model, text_col: str | None = "text", keep:
     text = [F.col(text_col).cast("string").alias("_text")] if inside is None else []
     own = docs.select(*keep, *text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)])
-    return own.mapInArrow(run, f"{schema}, {_SCHEMA}" if keep else _SCHEMA)
+    return own.mapInArrow(releasing(run), f"{schema}, {_SCHEMA}" if keep else _SCHEMA)
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, ship, text_or_empty, written
+from .common import dropped, released, releasing, ship, text_or_empty, written
 from .components import components, spanned, stars
 from .simhash_dedup import COMPARE_ROWS, Planes, chunk_pairs, keep_first, labelled
 
@@ -97,7 +97,7 @@ def _cells_of(batches):
 
 def frequencies(rows: DataFrame) -> np.ndarray:
     """The sketch over all rows (text: binary); the driver holds ORDER_CELLS numbers."""
-    counted = rows.select("text").mapInArrow(_cells_of, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.select("text").mapInArrow(releasing(_cells_of), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(ORDER_CELLS, dtype=np.int64)
     total[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     return total
@@ -276,6 +276,7 @@ def _links(exact: bool):
             last = int(np.searchsorted(keys, keys[-1]))
             if last:
                 yield out(rows.slice(0, last).combine_chunks())
+                released()
             rest = rows.slice(last).combine_chunks()
             held = rest.to_batches()
             size = pc.sum(rest["n"]).as_py() if exact else rest.num_rows
@@ -291,7 +292,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("text"))
     ship(docs.sparkSession)
     order = docs.sparkSession.sparkContext.broadcast(frequencies(rows))
-    prints = written(rows.mapInArrow(_prints(order), "doc_id bigint, tie bigint, fp bigint, n bigint, sim binary, prefix array<bigint>"), "prints")
+    prints = written(rows.mapInArrow(releasing(_prints(order)), "doc_id bigint, tie bigint, fp bigint, n bigint, sim binary, prefix array<bigint>"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
     nodes = written(prints.groupBy("fp").agg(first, *(F.first(c).alias(c) for c in ("n", "sim", "prefix"))), "nodes")
 
@@ -302,7 +303,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     hot = written(counts.where(F.col("count") > bucket_rows), "hot")
     dealt = written(chunk_pairs(shared, hot, bucket_rows), "dealt")
     met = dealt.join(nodes.select("fp", "n", "sim"), "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
-    groups = components(written(met.mapInArrow(_links(False), "u bigint, v bigint"), "near"))
+    groups = components(written(met.mapInArrow(releasing(_links(False)), "u bigint, v bigint"), "near"))
     for used in (counts, hot, dealt):
         dropped(used)
 
@@ -311,9 +312,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     large = written(members.groupBy("bucket").agg(F.sum("n").alias("count")).where(F.col("count") > group_hashes), "large")
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_tie"))
     texts = docs.join(members, same).select("fp", "bucket", "n", "sim", text.cast("binary").alias("text")).dropDuplicates(["fp"])
-    sets = written(texts.mapInArrow(_sets, "fp bigint, bucket bigint, n bigint, sim binary, hashes array<bigint>"), "sets")
+    sets = written(texts.mapInArrow(releasing(_sets), "fp bigint, bucket bigint, n bigint, sim binary, hashes array<bigint>"), "sets")
     whole = chunk_pairs(sets, large, group_hashes).repartition("bucket").sortWithinPartitions("bucket", "fp")
-    links = written(whole.mapInArrow(_links(True), "u bigint, v bigint"), "links")
+    links = written(whole.mapInArrow(releasing(_links(True)), "u bigint, v bigint"), "links")
     confirmed = written(components(links), "components")
     for used in (members, large, sets):
         dropped(used)

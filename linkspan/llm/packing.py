@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import releasing, table, text_or_empty, written
 from .tokens import encoder
 
 END_ID = 0
@@ -280,7 +280,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49
     """Every document's pieces, with the task and the rank within it by length; a written table."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint"
-    return written(rows.mapInArrow(_pieces(vocabulary, capacity), schema), "pieces")
+    return written(rows.mapInArrow(releasing(_pieces(vocabulary, capacity)), schema), "pieces")
 
 
 def _placer(patterns: list[tuple[int, tuple[int, ...]]], capacity: int):
@@ -328,7 +328,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(releasing(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,6 +322,39 @@ def test_the_search_scores_few_pairs(monkeypatch):
     assert sum(scored) < 200 * 20_000 / 8
 
 
+@pytest.mark.parametrize("group", [0, 64, 1 << 40])
+def test_products_of_a_term_find_what_single_pairs_do(monkeypatch, group):
+    """Terms as products only, a mixture, and pair by pair; a product replaces many pairs."""
+    from linkspan.operators import nearest
+
+    draw, scored = random.Random(7), []
+    plain = nearest._Batch.some_of
+    monkeypatch.setattr(nearest._Batch, "some_of", lambda self, row, other, position: scored.append(len(row)) or plain(self, row, other, position))
+    (_, a), (_, b) = _vectors(draw, 200, "S1-"), _vectors(draw, 900, "S2-")
+    rows = {n: sorted((r["s1_id"], round(r["score"], 6), r["cand_id"]) for r in nearest.best(5, 0.2, 0, n)(a, b).to_pylist()) for n in (1 << 40, group)}
+    assert rows[group] == rows[1 << 40]
+    alone, scored[:] = sum(scored), []
+    nearest.best(5, 0.2, 0, group)(a, b)
+    assert (sum(scored) == 0) == (group == 0) and alone > 0
+
+
+def test_terms_counted_inside_tasks(er):
+    """The vocabulary and vectors of rows without repeats are those of any rows; so are those
+    of more words than tasks look up."""
+    rows = keyed(blocking.processed(er["er_source2"].unionByName(er["er_source3"])), key="id").cache()
+    words = blocking.numbered(blocking.vocabulary(rows)).cache()
+    own = blocking.numbered(blocking.keyed_vocabulary(rows))
+    assert sorted(map(tuple, words.collect())) == sorted(map(tuple, own.collect()))
+
+    def cells(df):
+        return {r.id: (r.block, sorted(zip(r.terms, (round(w, 9) for w in r.weights)))) for r in df.collect()}
+
+    want = cells(blocking.vectors(rows, words))
+    assert cells(blocking.keyed_vectors(rows, words)) == want == cells(blocking.keyed_vectors(rows, words, 10))
+    odd = rows.limit(3).withColumn("text", F.expr("element_at(array('', 'x', 'golden golden golden'), CAST(row_number() OVER (ORDER BY id) AS INT))"))
+    assert cells(blocking.keyed_vectors(odd, words)) == cells(blocking.vectors(odd, words))
+
+
 def test_sums_of_pairs_are_those_of_all_pairs(er):
     left, right = blocking.processed(er["er_source1"]), blocking.processed(er["er_source2"].unionByName(er["er_source3"]))
     words = blocking.numbered(blocking.vocabulary(right)).cache()

@@ -390,3 +390,20 @@ def test_trees_on_cells(spark, er):
     for r in scored:
         place = sum(r.a > x for x in cuts[0]) + (sum(r.b > x for x in cuts[1]) << 5)
         assert abs(r.p - 1 / (1 + np.exp(-2 * known[place]))) < 1e-9
+
+
+def test_many_similarities_at_once():
+    """Machine words give what big integers do, also for strings of their size and longer,
+    characters outside ASCII and nulls; 20,000 partial ratios take no minute."""
+    import time
+
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("ab céराx") for _ in range(draw.choice([0, 1, 2, 5, 20, 63, 64, 65, 70]))) for _ in range(150)]
+    pairs = [(a, draw.choice([draw.choice(texts), a[1:], a[::-1], a])) for a in texts] + [("ab\0", "ab"), ("ab\0", "ab\0c"), ("", "\0")]
+    a, b = map(list, zip(*pairs))
+    for name in ("lcs", "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio"):
+        assert getattr(similarity, f"{name}_all")(a, b).tolist() == [getattr(similarity, name)(*p) for p in pairs]
+        assert len(getattr(similarity, f"{name}_all")([], [])) == 0
+    start = time.time()
+    similarity.partial_ratio_all([f"golden retail house{k} Inc" for k in range(20_000)], [f"northern foods group{k} & Company" for k in range(20_000)])
+    assert time.time() - start < 4

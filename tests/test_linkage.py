@@ -364,6 +364,33 @@ def test_sums_of_pairs_are_those_of_all_pairs(er):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("group, small", [(0, 0), (0, 1 << 40), (64, 0), (1 << 40, 0)])
+@pytest.mark.parametrize("most", [1, 8, 1 << 12])
+def test_sums_score_few_pairs(monkeypatch, group, small, most):
+    """Sums by groups, products of one or two terms and single pairs are those of all pairs,
+    and products have a part of them."""
+    import numpy as np
+
+    from linkspan.operators import nearest
+
+    monkeypatch.setattr(nearest, "SMALL", small)
+    monkeypatch.setattr(nearest, "SETUP", 0)
+    monkeypatch.setattr(nearest, "RARE", 1 << 40)
+    draw, scored = random.Random(8), []
+    (left, a), (right, b) = _vectors(draw, 300, "S1-", 200), _vectors(draw, 9000, "S2-", 200)
+    plain = nearest._Product.of
+    monkeypatch.setattr(nearest._Product, "of", lambda self, row, term, weight, n: scored.append(n * self.n) or plain(self, row, term, weight, n))
+    got = {r["s1_id"]: (r["n"], r["total"], r["least"], r["most"]) for r in nearest.totals(0.4, group, most)(a, b).to_pylist()}
+    dense = np.zeros((2, 9000, 200))
+    for side, rows in enumerate((left, right)):
+        for k, (_, terms, weights) in enumerate(rows):
+            dense[side, k, terms] = weights
+    micro = np.rint(dense[0, :300] @ dense[1].T * 1e6).astype(int)
+    want = {left[k][0]: (len(hits), hits.sum(), hits.min(), hits.max()) for k, line in enumerate(micro) if len(hits := line[line >= 400_000])}
+    assert got == want
+    assert sum(scored) < 300 * 9000 * 2 / 3
+
+
 def test_trees_on_cells(spark, er):
     """300 trees of the default depth end soon; Spark's model gives the margins that were grown."""
     import time
